@@ -78,7 +78,7 @@ def _bytes(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint8).reshape(len(column), 32).copy()
 
 
-def _merge(_key, history: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFrame:
+def _merge(_key: tuple, history: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFrame:
     """Groups of one shard: the historical ones, with what the batch adds to them, and the batch's own."""
     if not len(history):
         return batch.drop(columns="shard")
