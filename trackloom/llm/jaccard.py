@@ -6,9 +6,10 @@ candidates; the order of the hashes cuts every set into fragments, each fragment
 candidate pairs apart from the others, and the sums per pair decide.
 
 Candidates come in rounds, so that a group of thousands of near copies isn't paired with itself: first every class
-is compared with one pivot for each prefix shingle it has (and size band), then with another where the two are not
-connected yet, and in the end every remaining pair with a common prefix shingle whose members are not connected.
-Pairs left out are inside a component already, so no component is lost.
+is compared with the smallest class that shares a prefix shingle with it, then with others that it isn't connected to
+yet, and in the end every remaining pair with a common prefix shingle whose members are not connected. Pairs left out
+are inside a component already, so no component is lost. Sizes, and the shingles that no other set has, rule pairs out
+before their overlaps are counted.
 
 Defined results: ASCII white space separates words and only A-Z are lower-cased; fewer words than ``SHINGLE`` are
 one shingle; a text without words, or null, has no shingle and links with nothing; rows that repeat a ``doc_id`` are
@@ -139,7 +140,8 @@ def _band(n: np.ndarray | int, percent: int):
 
 
 def _tokens(classes: DataFrame, percent: int) -> DataFrame:
-    """(cls, n, band, token): the prefix of each class in the global order, without shingles of a single set."""
+    """(cls, n, shared, band, token, place): the prefix of each class in the global order, without shingles of a single set;
+    ``shared`` counts all that other sets have too, ``place`` is the shingle's in the whole order."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,26 +150,33 @@ def _tokens(classes: DataFrame, percent: int) -> DataFrame:
                 length = n - _needed(n, percent) + 1 - (n - len(hashes))
                 tokens = hashes[np.lexsort((hashes, held))[: max(length, 0)]]
                 k = len(tokens)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, cls, np.int64)), pa.array(np.full(k, n, np.int64)), pa.array(np.full(k, _band(n, percent), np.int32)), pa.array(tokens.view(np.int64))], ["cls", "n", "band", "token"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, cls, np.int64)), pa.array(np.full(k, n, np.int64)), pa.array(np.full(k, len(hashes), np.int64)), pa.array(np.full(k, _band(n, percent), np.int32)), pa.array(tokens.view(np.int64)), pa.array(np.arange(k) + (n - len(hashes)))], ["cls", "n", "shared", "band", "token", "place"])
 
-    found = classes.filter("shingles IS NOT NULL").select("cls", "n", "shingles", "sets").mapInArrow(prefixes, "cls long, n long, band int, token long")
+    found = classes.filter("shingles IS NOT NULL").select("cls", "n", "shingles", "sets").mapInArrow(prefixes, "cls long, n long, shared long, band int, token long, place long")
     return found
 
 
 def _fitting(a: str, b: str, percent: int):
-    return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
+    """Whether the pair's sizes, what each could share with others, and the places of a common shingle allow the
+    similarity: what stands before the first common one is lost, and a pair has to pass at that one."""
+    n, m = F.col(f"{a}n"), F.col(f"{b}n")
+    most = F.least(F.col(f"{a}shared"), F.col(f"{b}shared"), n - F.col(f"{a}place"), m - F.col(f"{b}place"))
+    return most * 100 >= (n + m - most) * percent
 
 
 def _pivot_pairs(tokens: DataFrame, labels: DataFrame | None, turn: int, percent: int) -> DataFrame:
-    """(a, b): every class with the pivots of its prefix shingles, in its own band and the next."""
-    held = tokens if labels is None else tokens.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    label = F.col("cls") if labels is None else F.col("label")
-    held = held.withColumn("label", label)
+    """(a, b): every class with one pivot of its prefix shingles' (in its own band and the next) that it isn't
+    connected to: the smallest that fits, or by another order in later turns."""
+    held = tokens.withColumn("label", F.col("cls")) if labels is None else tokens.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     order = F.col("cls") if not turn else F.xxhash64("cls", F.lit(turn))
-    pivots = held.groupBy("token", "band").agg(F.min(F.struct(order.alias("o"), "cls", "n", "label")).alias("p"), F.count("*").alias("members"))
+    row = F.struct(order.alias("o"), "cls", "n", "shared", "place", "label")
+    # The lowest and the highest: where one is the class itself or connected to it, the other may not be.
+    pivots = held.groupBy("token", "band").agg(F.array_distinct(F.array(F.min(row), F.max(row))).alias("ps"))
     near = held.withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
-    found = near.join(pivots, ["token", "band"]).filter((F.col("cls") != F.col("p.cls")) & (F.col("label") != F.col("p.label")) & _fitting("n", "p.n", percent))
-    return found.select(F.least("cls", "p.cls").alias("a"), F.greatest("cls", "p.cls").alias("b")).distinct()
+    met = near.join(pivots, ["token", "band"]).withColumn("p", F.explode("ps")).select("cls", "n", "shared", "place", "label", F.col("p.o").alias("o"), F.col("p.cls").alias("p_cls"), F.col("p.n").alias("p_n"), F.col("p.shared").alias("p_shared"), F.col("p.place").alias("p_place"), F.col("p.label").alias("p_label"))
+    found = met.filter((F.col("cls") != F.col("p_cls")) & (F.col("label") != F.col("p_label")) & _fitting("", "p_", percent))
+    chosen = found.groupBy("cls").agg(F.min(F.struct("o", "p_cls")).alias("p"))
+    return chosen.select(F.least("cls", "p.p_cls").alias("a"), F.greatest("cls", "p.p_cls").alias("b")).distinct()
 
 
 def _rest_pairs(tokens: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -176,7 +185,7 @@ def _rest_pairs(tokens: DataFrame, labels: DataFrame, percent: int) -> DataFrame
     mixed = held.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("token")
     open_ = held.join(mixed, "token")
     x, y = open_.alias("x"), open_.alias("y")
-    met = (F.col("x.token") == F.col("y.token")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.label") != F.col("y.label")) & _fitting("x.n", "y.n", percent)
+    met = (F.col("x.token") == F.col("y.token")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.label") != F.col("y.label")) & _fitting("x.", "y.", percent)
     return x.join(y, met).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
 
 
