@@ -134,6 +134,12 @@ def exact_dedup(docs: DataFrame, history_to: int | None = None) -> DataFrame:
     return found.select("doc_id", F.col("winner").alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(F.col("winner")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def keep_one_each(docs: DataFrame, history_to: int | None = None) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay."""
+    found = exact_dedup(docs, history_to).filter("kept").select(F.col("doc_id").alias("_kept_doc_id_")).distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("_kept_doc_id_")), "left_semi")
+
+
 ORACLE = r"""
 WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS n_chars,
                   sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents),

@@ -255,5 +255,5 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
 
 def keep_one_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs``, all columns, of the smallest doc_id of each component."""
-    found = jaccard_components(docs, shingle, percent).filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
+    found = jaccard_components(docs, shingle, percent).filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_kept_doc_id_")).distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("_kept_doc_id_")), "left_semi")

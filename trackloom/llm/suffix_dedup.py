@@ -74,7 +74,7 @@ def _minimizers(data: np.ndarray, ends: np.ndarray, length: int) -> Iterator[tup
                 turn = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
                 starts, stops = np.repeat(starts, cuts) + turn * SEGMENT_STRINGS, np.repeat(stops, cuts)
                 strings = np.minimum(SEGMENT_STRINGS, stops - starts)
-            yield doc[starts], starts + base, strings, least[starts], pieces, base
+            yield doc[starts], starts + base, strings, mix(least[starts]), pieces, base  # mixed again: least values are small ones
         done = last
 
 
