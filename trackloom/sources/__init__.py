@@ -1 +1,16 @@
+"""Where tracking frames come from. ``source(name)`` gives a reader by its name."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from . import csv_pair, events, jsonl
+
+_SOURCES: dict[str, Callable] = {"events": events.tracking, "csv_pair": csv_pair.tracking, "jsonl": jsonl.tracking}
+
+
+def source(name: str) -> Callable:
+    key = name.strip().lower()
+    if key not in _SOURCES:
+        raise KeyError(f"no source {name!r}; there are {', '.join(sorted(_SOURCES))}")
+    return _SOURCES[key]
