@@ -184,13 +184,14 @@ def expand_intervals(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.n
     n = len(order)
     first = symbols[order]
     bound = np.concatenate([[True], first[1:] != first[:-1]]) if n else np.empty(0, bool)
-    after = np.concatenate([rank[1:], [0]])[order] if n else np.empty(0, np.int64)  # where the transform maps back to
+    # Where the transform maps back to, from 1; the empty suffix is before all others.
+    after = np.concatenate([rank[1:] + 1, [0]])[order] if n else np.empty(0, np.int64)
     open_ = np.flatnonzero(~bound)
     new = bound
     for _ in range(1, length):
         if not len(open_):
             break
-        reach = np.cumsum(new)
+        reach = np.concatenate([[0], np.cumsum(new)])
         hit = reach[after[open_]] > reach[after[open_ - 1]]
         new = np.zeros(n, bool)
         new[open_[hit]] = True
