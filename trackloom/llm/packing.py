@@ -11,8 +11,11 @@ ignored.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,8 +28,10 @@ SEQUENCE_TOKENS = 2048
 OPEN_SEQUENCES = 1024
 TOKENIZER = "word_bpe_49k.json"
 END = 0
-#: Distinct words whose ids a task remembers.
-CACHED_WORDS = 200_000
+#: Distinct words whose ids a Python worker remembers, half of what it holds at most.
+CACHED_WORDS = 700_000
+#: Letters whose lower case and normal form no Unicode version disputes, then marks that can't belong to a contraction.
+_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 _SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), *((n, pa.int64()) for n in ("start", "length", "ids_crc32", "sequence_id", "offset"))])
 
@@ -68,15 +73,24 @@ class BestFit:
         return sequence, self.capacity - room
 
 
+@lru_cache(maxsize=1)
 def encoder(name: str):
     """text -> its ids as little-endian unsigned 32-bit integers. White space only separates words for this kind of
-    vocabulary, so each distinct word of a plain text is encoded once."""
+    vocabulary, case is dropped and marks are split from letters, so each distinct word of a plain text is encoded
+    once. A Python worker keeps what it has encoded for the tasks that follow."""
     tokenizer = json_tokenizer(name)
 
     def ids(text: str) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in tokenizer.encode(text, add_special_tokens=False).ids)
+        found = tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(found)}I", *found)
 
-    words = Cache(ids, CACHED_WORDS)
+    def word(text: str) -> bytes:
+        split = _WORD(text)
+        if split is None or (letters := split[1].lower()) == text:
+            return ids(text)
+        return words[letters] + (words[split[2]] if split[2] else b"")
+
+    words = Cache(word, CACHED_WORDS)
     return lambda text: b"".join(map(words.__getitem__, text.split())) if is_plain(text) else ids(text)
 
 

@@ -41,16 +41,20 @@ def spaced_units(text: str) -> list[str] | None:
 
 
 class Cache(dict):
-    """Unit -> what ``make`` gives for it. Emptied when it holds ``limit`` units, so memory is bounded."""
+    """Unit -> what ``make`` gives for it. When ``limit`` units are held, they become the old ones, of which those that
+    are asked for again stay; so memory is bounded by twice the limit and frequent units are kept."""
 
     def __init__(self, make: Callable, limit: int):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, unit: str):
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        value = self.make(unit)
+        value = self.old.get(unit)
+        if value is None:
+            value = self.make(unit)
         if len(unit) <= 256:
             self[unit] = value
         return value
