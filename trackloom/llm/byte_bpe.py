@@ -13,7 +13,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from heapq import heappop, heappush
 
 import pyarrow as pa
@@ -24,8 +25,8 @@ from .common import text_or_empty
 from .pretokens import Cache, pattern, spaced_units, vocabulary_file
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Distinct units whose encoding a task remembers.
-CACHED_UNITS = 150_000
+#: Distinct units, and pre-tokens, whose encoding a Python worker remembers, half of what it holds at most.
+CACHED_UNITS = 250_000
 _SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
@@ -124,19 +125,27 @@ class ByteBpe:
         return b"".join(map(self.pieces.__getitem__, ids))
 
 
-def encode_decode(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
-    """Digests of every document's ids and of what they decode to."""
+@lru_cache(maxsize=1)
+def unit_coder(name: str) -> tuple[Callable, Cache]:
+    """(text -> pre-tokens, unit -> number of ids, ids as text, decoded bytes). A Python worker keeps both for the tasks
+    that follow; a pre-token is encoded once for all units that hold it."""
+    import regex
 
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
+    bpe, find = ByteBpe.load(name), regex.compile(pattern()).findall
+    tokens = Cache(lambda token: bpe.encode(token.encode()), CACHED_UNITS)
+
+    def unit(text: str) -> tuple[int, bytes, bytes]:
+        ids = [i for token in find(text) for i in tokens[token]]
+        return len(ids), b"".join(b",%d" % i for i in ids), bpe.decode(ids)
 
-        bpe, find = ByteBpe.load(ranks), regex.compile(pattern()).findall
+    return find, Cache(unit, CACHED_UNITS)
 
-        def unit(text: str) -> tuple[int, bytes, bytes]:
-            ids = [i for token in find(text) for i in bpe.encode(token.encode())]
-            return len(ids), b"".join(b",%d" % i for i in ids), bpe.decode(ids)
 
-        units = Cache(unit, CACHED_UNITS)
+def encode_decode(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
+    """Digests of every document's ids and of what they decode to."""
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, units = unit_coder(ranks)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
