@@ -1,10 +1,10 @@
 """License scans by a positional index of rare words, in DataFrame functions only.
 
 The template library is small and fixed: key passages of common licenses, each with phrases that must be there. Its
-index has (word, template, position). How many documents hold each of its words is counted over all documents; a
-document looks up the ``LOOKED_UP`` of its license words that the fewest documents hold, their postings are
-intersected by relative position (place in the document less position in the template), and where at least
-``LEAST_SHARE`` of a template's words looked up meet, its mandatory phrases are verified. Only ids, word places and
+index has (word, template, position). How many documents hold each of its words is counted over all documents. For
+every template whose mandatory phrases stand in a document, the ``LOOKED_UP`` of its words there that the fewest
+documents hold are looked up, their postings are intersected by relative position (place in the document less position
+in the template), and the template matches where ``LEAST_SHARE`` of that number meet. Only ids, word places and
 flags are shuffled, no text; a word that a document repeats is summed up by place.
 
 Defined results: a null or empty text has no words; only A-Z are lower-cased; rows that repeat a doc_id are scanned
@@ -76,17 +76,18 @@ def license_scan(docs: DataFrame) -> DataFrame:
     total = scanned.count()
     words = scanned.filter("places IS NOT NULL").select("row", "verified", F.explode("places").alias("x")).select("row", "verified", "x.word", "x.place")
     rarity = counts.select("word", F.log(F.lit(float(total + 1)) / (F.col("documents") + 1)).alias("idf"))
-    rated = words.select("row", "word").distinct().join(F.broadcast(rarity), "word")
-    best = rated.groupBy("row").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("idf")).alias("r"), "word"))), 1, LOOKED_UP)["word"].alias("chosen"))
+    rated = words.select("row", "verified", "word").distinct().join(F.broadcast(rarity), "word")
     spark = docs.sparkSession
     index = spark.createDataFrame([(w, label, i) for label, (passage, _) in sorted(TEMPLATES.items()) for i, w in enumerate(passage.split())], "word string, label string, position int")
-    chosen = words.join(best, "row").filter(F.array_contains("chosen", F.col("word")))
-    met = chosen.join(F.broadcast(index), "word").groupBy("row", "label", (F.col("place") - F.col("position")).alias("shift")).agg(F.count_distinct("position").alias("hits"), F.first("verified").alias("verified"), F.first("chosen").alias("chosen"))
-    passages = F.create_map(*(x for label, (p, _) in sorted(TEMPLATES.items()) for x in (F.lit(label), F.array(*map(F.lit, p.split())))))
     mandatory = F.create_map(*(x for label, (_, ps) in sorted(TEMPLATES.items()) for x in (F.lit(label), F.array(*map(F.lit, ps)))))
-    possible = F.size(F.filter(passages[F.col("label")], lambda w: F.array_contains("chosen", w)))
     holds = F.size(F.array_except(mandatory[F.col("label")], "verified")) == 0
-    shares = met.withColumn("share", F.col("hits") / possible).filter(holds & (F.col("share") >= LEAST_SHARE))
+    # (row, label, chosen): of every template whose phrases stand, its words that the document has, rarest first.
+    told = rated.join(F.broadcast(index.select("word", "label").distinct()), "word").filter(holds)
+    best = told.groupBy("row", "label").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("idf")).alias("r"), "word"))), 1, LOOKED_UP)["word"].alias("chosen"))
+    chosen = best.select("row", "label", F.explode("chosen").alias("word")).join(words.select("row", "word", "place"), ["row", "word"])
+    met = chosen.join(F.broadcast(index), ["word", "label"]).groupBy("row", "label", (F.col("place") - F.col("position")).alias("shift")).agg(F.count_distinct("word").alias("hits"))
+    possible = F.create_map(*(x for label, (p, _) in sorted(TEMPLATES.items()) for x in (F.lit(label), F.lit(min(LOOKED_UP, len(set(p.split())))))))
+    shares = met.withColumn("share", F.col("hits") / possible[F.col("label")]).filter(F.col("share") >= LEAST_SHARE)
     matched = shares.groupBy("row").agg(F.collect_set("label").alias("matched"), F.max("share").alias("share"))
 
     starts = F.concat(*(F.col(f"p{k}") for k in range(len(PHRASES))))
