@@ -1,13 +1,14 @@
 """Velocity, speed and distance of tracks, in window functions over (match, half, track).
 
 A track breaks into segments where a gap is too long or a step impossible. Each segment is resampled to the frame
-rate if it isn't regular, differentiated by a Savitzky-Golay filter of order 2 in closed form (polynomial fits at the
-ends), and read back at its own times. The window is odd and shrinks for short segments.
+rate if it isn't regular, differentiated by a Savitzky-Golay filter of order 1 or 2 in closed form (polynomial fits at
+the ends), and read back at its own times. The window is odd and shrinks for short segments. Ball rows stay, without any
+of it.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,10 +26,13 @@ class Motion:
     max_speed: float = 12.0
     max_gap: float = 1.0
     glitch_speed: float | None = 12.0  # None: no step is impossible
+    order: int = 2
 
     def __post_init__(self):
-        if self.window < 3 or self.window % 2 == 0:
-            raise ValueError("window must be odd and larger than the order, 2")
+        if self.window % 2 == 0 or not 1 <= self.order < self.window:
+            raise ValueError("window must be odd and larger than the order, which is at least 1")
+        if self.order > 2:
+            raise ValueError("orders over 2 have no closed form here")
         if min(self.rate, self.max_speed, self.max_gap) <= 0:
             raise ValueError("rate, max_speed and max_gap must be positive")
 
@@ -67,10 +71,12 @@ def uniform_grid(laid: DataFrame, cfg: Motion = Motion()) -> tuple[DataFrame, Da
 
 
 def _derivative(c: str, cfg: Motion) -> Column:
-    """d/dt at a grid point of its segment, per the columns g, n_grid and m (half the window)."""
+    """d/dt at a grid point of its segment, per the columns g and n_grid; m is half the window that fits."""
     w, whole = Window.partitionBy(*SEGMENT).orderBy("g"), Window.partitionBy(*SEGMENT)
     half, dt = cfg.window // 2, cfg.dt
-    m, g, n = F.col("m"), F.col("g"), F.col("n_grid")
+    g, n = F.col("g"), F.col("n_grid")
+    # One row of sums would be divided by zero where there are one or two points: m is at least 1 there.
+    m = F.greatest(F.least(F.lit(half), F.floor((n - 1) / 2)), F.lit(1)).cast("long")
     inner = sum((float(k) * (F.lead(c, k).over(w) - F.lag(c, k).over(w)) for k in range(1, half + 1)), F.lit(0.0)) / (half * (half + 1) * (2 * half + 1) / 3 * dt)
     md = m.cast("double")
     s2 = md * (md + 1) * (2 * md + 1) / 3
@@ -82,6 +88,8 @@ def _derivative(c: str, cfg: Motion) -> Column:
         here = F.abs(g - centre) <= m
         total = lambda x: F.sum(F.when(here, x).otherwise(0.0)).over(whole)
         a1 = total(k * F.col(c)) / s2
+        if cfg.order == 1:
+            return a1 / dt
         a2 = (width * total(k * k * F.col(c)) - s2 * total(F.col(c))) / (width * s4 - s2 * s2)
         return (a1 + 2 * a2 * k) / dt
 
@@ -91,32 +99,49 @@ def _derivative(c: str, cfg: Motion) -> Column:
     return F.when(n == 1, 0.0).when(n == 2, pair).when((n >= cfg.window) & g.between(half, n - 1 - half), inner).when(F.when(n >= cfg.window, g < half).otherwise(g <= m), head).otherwise(tail)
 
 
-def grid_velocity(grid: DataFrame, cfg: Motion = Motion()) -> DataFrame:
-    m = F.least(F.lit(cfg.window // 2), F.floor((F.col("n_grid") - 1) / 2)).cast("long")
-    # One row of sums would be divided by zero where there are one or two points: m is at least 1 there.
-    wide = grid.withColumn("m", F.greatest(m, F.lit(1)))
-    return wide.withColumns({"gvx": _derivative("gx", cfg), "gvy": _derivative("gy", cfg)}).select(*SEGMENT, "g", "gvx", "gvy")
+def grid_velocity(grid: DataFrame, cfg: Motion = Motion(), windows: tuple[int, ...] | None = None) -> DataFrame:
+    """Velocity at every grid point, as columns gvx_<window> and gvy_<window>: all windows in one pass."""
+    columns = {}
+    for window in windows or (cfg.window,):
+        own = replace(cfg, window=window)
+        columns |= {f"gv{c}_{window}": _derivative(f"g{c}", own) for c in "xy"}
+    return grid.withColumns(columns).select(*SEGMENT, "g", *columns)
 
 
 def kinematics(df: DataFrame, cfg: Motion = Motion()) -> DataFrame:
-    """Player rows with vx, vy, speed and step_dist (null in a glitch), speed before the limit as raw_speed."""
+    """All rows with vx, vy, speed and step_dist (null in a glitch and for the ball), speed before the limit as raw_speed."""
+    return kinematics_by_window(df, cfg, (cfg.window,)).drop("window")
+
+
+def kinematics_by_window(df: DataFrame, cfg: Motion = Motion(), windows: tuple[int, ...] = (21,)) -> DataFrame:
+    """As ``kinematics``, for each smoothing window: only the derivative is made more than once."""
     laid = segments(df, cfg)
     samples, grid = uniform_grid(laid, cfg)
     w = Window.partitionBy(*SEGMENT).orderBy("g")
-    v = grid_velocity(grid, cfg).withColumns({"nvx": F.coalesce(F.lead("gvx").over(w), "gvx"), "nvy": F.coalesce(F.lead("gvy").over(w), "gvy")})
+    v = grid_velocity(grid, cfg, windows)
+    v = v.withColumns({f"next_{c}": F.coalesce(F.lead(c).over(w), c) for c in v.columns if c.startswith("gv")})
     place = F.least((F.col("timestamp") - F.col("t0")) / cfg.dt, (F.col("n_grid") - 1).cast("double"))
     at = samples.withColumn("p", F.when(F.col("regular"), F.col("i").cast("double")).otherwise(place)).withColumn("g", F.floor("p")).select(*SEGMENT, "frame_id", "g", (F.col("p") - F.col("g")).alias("part"))
-    found = at.join(v, [*SEGMENT, "g"]).select(*SEGMENT, "frame_id", (F.col("gvx") + (F.col("nvx") - F.col("gvx")) * F.col("part")).alias("vx"), (F.col("gvy") + (F.col("nvy") - F.col("gvy")) * F.col("part")).alias("vy"))
-    out = laid.join(found, [*SEGMENT, "frame_id"], "left").withColumn("raw_speed", F.round(F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy")), 9))
+    between = lambda c: F.col(c) + (F.col(f"next_{c}") - F.col(c)) * F.col("part")
+    both = F.array(*(F.struct(F.lit(k).alias("window"), between(f"gvx_{k}").alias("vx"), between(f"gvy_{k}").alias("vy")) for k in windows))
+    found = at.join(v, [*SEGMENT, "g"]).select(*SEGMENT, "frame_id", both.alias("v"))
+    none = F.lit(None).cast("double")
+    blank = F.array(*(F.struct(F.lit(k).alias("window"), none.alias("vx"), none.alias("vy")) for k in windows))
+    out = laid.join(found, [*SEGMENT, "frame_id"], "left").withColumn("v", F.explode(F.coalesce("v", blank))).select("*", "v.*").drop("v")
+    out = out.withColumn("raw_speed", F.round(F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy")), 9))
     limit = F.when(F.col("raw_speed") > cfg.max_speed, cfg.max_speed / F.col("raw_speed")).otherwise(1.0)
-    out = out.withColumns({"speed": F.least("raw_speed", F.lit(cfg.max_speed)), "vx": F.col("vx") * limit, "vy": F.col("vy") * limit})
-    return out.withColumn("step_dist", F.when(F.col("glitch"), None).when(F.col("breaks"), 0.0).otherwise(F.col("speed") * F.col("step_s")))
+    out = out.withColumns({"speed": F.when(F.col("raw_speed") > cfg.max_speed, cfg.max_speed).otherwise(F.col("raw_speed")), "vx": F.col("vx") * limit, "vy": F.col("vy") * limit})
+    players = out.withColumn("step_dist", F.when(F.col("glitch"), None).when(F.col("breaks"), 0.0).otherwise(F.col("speed") * F.col("step_s")))
+    ball = df.filter("is_ball").withColumn("window", F.explode(F.array(*map(F.lit, windows))))
+    return players.unionByName(ball, allowMissingColumns=True)
 
 
 def clip_report(kin: DataFrame, cfg: Motion = Motion()) -> DataFrame:
+    """By match: of all players' rows, those over the limit, and the steps and rows that were impossible."""
     over = F.count_if(F.col("raw_speed") > cfg.max_speed)
-    usable = F.count("raw_speed")
-    return kin.agg(over.alias("n_clipped"), usable.alias("n_total"), F.try_divide(over, usable).alias("clipped_share"), F.max("raw_speed").alias("max_raw_speed"), F.count_if("impossible").alias("glitch_steps"), F.count_if("glitch").alias("glitch_frames"))
+    usable = F.count("*")
+    share, most = F.coalesce(F.try_divide(over, usable), F.lit(0.0)), F.coalesce(F.max("raw_speed"), F.lit(0.0))
+    return kin.filter("NOT is_ball").groupBy("match_id").agg(over.alias("n_clipped"), usable.alias("n_total"), share.alias("clipped_share"), most.alias("max_raw_speed"), F.count_if("impossible").alias("glitch_steps"), F.count_if("glitch").alias("glitch_frames"))
 
 
 def total_distance(kin: DataFrame, by_period: bool = False) -> DataFrame:

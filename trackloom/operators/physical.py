@@ -60,18 +60,22 @@ def fast_running(kin: DataFrame, threshold: float = FAST) -> DataFrame:
     return _players(kin).groupBy(*PLAYER).agg(F.sum(F.when(F.col("speed") >= threshold, F.col("step_dist")).otherwise(0.0)).alias("hsr_distance_m"))
 
 
+def _efforts(kin: DataFrame, limit: Column, min_recovery: float, rate: float, key: list[str]) -> DataFrame:
+    """Players' rows in order (rn), with the effort that they would belong to, its last fast row, and the speed as top."""
+    ordered = Window.partitionBy(*key).orderBy("timestamp", "frame_id")
+    rows = _players(kin.withColumn("top", F.col("speed"))).withColumn("rn", F.row_number().over(ordered)).withColumn("fast", F.col("speed") >= limit)
+    # Of the rows up to here the last fast one, and from here on the next: a gap lies between the two.
+    before = F.last(F.when(F.col("fast"), F.col("rn")), True).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("before", before).withColumn("starts", F.col("fast") & (F.col("before").isNull() | (F.col("rn") - F.col("before") - 1 >= min_recovery * rate)))
+    rows = rows.withColumn("effort", F.sum(F.col("starts").cast("int")).over(ordered)).withColumn("effort", F.when(F.col("effort") > 0, F.col("effort")))
+    return rows.withColumn("last", F.max(F.when(F.col("fast"), F.col("rn"))).over(Window.partitionBy(*key, "effort")))
+
+
 def sprints(kin: DataFrame, threshold: float = SPRINT, min_duration: float = 1.0, min_recovery: float = 1.0, rate: float = 25.0, extra: tuple[str, ...] = ()) -> DataFrame:
     """Efforts: runs of fast rows, joined over fewer slow rows than the recovery has, of at least the duration.
     ``extra`` columns (a sweep's parameters) are part of every key; a column of them named threshold takes effect."""
     key = [*extra, *TRACK]
-    w, ordered = Window.partitionBy(*key), Window.partitionBy(*key).orderBy("timestamp", "frame_id")
-    limit = F.col("threshold") if "threshold" in extra else F.lit(threshold)
-    rows = _players(kin).withColumn("rn", F.row_number().over(ordered)).withColumn("fast", F.col("speed") >= limit)
-    # Of the rows up to here the last fast one, and from here on the next: a gap lies between the two.
-    before = F.last(F.when(F.col("fast"), F.col("rn")), True).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("before", before).withColumn("starts", F.col("fast") & (F.col("before").isNull() | (F.col("rn") - F.col("before") - 1 >= min_recovery * rate)))
-    rows = rows.withColumn("effort", F.sum(F.col("starts").cast("int")).over(ordered)).filter("effort > 0")
-    rows = rows.withColumn("last", F.max(F.when(F.col("fast"), F.col("rn"))).over(Window.partitionBy(*key, "effort"))).filter("rn <= last")
+    rows = _efforts(kin, F.col("threshold") if "threshold" in extra else F.lit(threshold), min_recovery, rate, key).filter("effort IS NOT NULL AND rn <= last")
     out = rows.groupBy(*key, "effort").agg(
         F.min_by("team", "rn").alias("team"), F.min("timestamp").alias("start_ts"), F.max("timestamp").alias("end_ts"), (F.count("*") / F.lit(rate)).alias("duration_s"),
         F.max("speed").alias("peak_speed_mps"), F.avg("speed").alias("mean_speed_mps"), F.sum("step_dist").alias("distance_m"))
@@ -82,24 +86,57 @@ def sprint_counts(efforts: DataFrame) -> DataFrame:
     return efforts.groupBy(*PLAYER).agg(F.count("*").alias("n_sprints"), F.sum("distance_m").alias("sprint_distance_m"))
 
 
-def sprint_grid(kin: DataFrame, thresholds=(6.5, 7.0, 7.5, 8.0), rate: float = 25.0, players: DataFrame | None = None) -> DataFrame:
+def sprint_grid(kin: DataFrame, thresholds=(6.5, 7.0, 7.5, 8.0), rate: float = 25.0, players: DataFrame | None = None, min_duration: float = 1.0, min_recovery: float = 1.0) -> DataFrame:
     """Sprints for each threshold (and window, if ``kin`` has that column); the mean is over ``players`` or all tracks."""
     extra = ["window"] if "window" in kin.columns else []
-    wide = kin.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
-    found = sprints(wide, rate=rate, extra=(*extra, "threshold")).groupBy(*extra, "threshold", "match_id", "track_id").agg(F.count("*").alias("k"))
-    tracks = kin.select(*extra, "match_id", "track_id").distinct()
+    key = [*extra, *TRACK]
+    limits = F.array(*map(F.lit, thresholds))
+    numbered = _players(kin).withColumn("rn", F.row_number().over(Window.partitionBy(*key).orderBy("timestamp", "frame_id")))
+    # Only fast rows go on: an effort is as long as its first and last one are apart.
+    quick = numbered.filter(F.col("speed") >= min(thresholds)).withColumn("threshold", F.explode(F.filter(limits, lambda t: t <= F.col("speed"))))
+    w = Window.partitionBy(*key, "threshold").orderBy("rn")
+    gap = F.col("rn") - F.lag("rn").over(w) - 1
+    efforts = quick.withColumn("starts", F.coalesce(gap >= min_recovery * rate, F.lit(True)).cast("int")).withColumn("effort", F.sum("starts").over(w))
+    efforts = efforts.groupBy(*key, "threshold", "effort").agg((F.max("rn") - F.min("rn") + 1).alias("n")).filter(F.col("n") / F.lit(rate) >= min_duration)
+    found = efforts.groupBy(*extra, "threshold", "match_id", "track_id").agg(F.count("*").alias("k"))
+    tracks = kin.filter("NOT is_ball").select(*extra, "match_id", "track_id").distinct()
     mean_over = tracks.join(players.select("match_id", "track_id").distinct(), ["match_id", "track_id"], "left_semi") if players is not None else tracks
-    marked = tracks.join(mean_over.withColumn("counted", F.lit(1)), [*extra, "match_id", "track_id"], "left").withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
+    marked = tracks.join(mean_over.withColumn("counted", F.lit(1)), [*extra, "match_id", "track_id"], "left").withColumn("threshold", F.explode(limits))
     joined = marked.join(found, [*extra, "threshold", "match_id", "track_id"], "left").withColumn("k", F.coalesce("k", F.lit(0)))
     return joined.groupBy("match_id", *extra, "threshold").agg(F.sum("k").alias("total_sprints"), F.avg(F.when(F.col("counted") == 1, F.col("k"))).alias("sprints_per_player_mean"))
 
 
-def spread_percent(grid: DataFrame, key: str = "threshold") -> DataFrame:
-    """(most - least) / reference * 100, the reference being the total at the lower median of ``key``."""
-    ordered = F.array_sort(F.collect_list(F.struct(key, "total_sprints")))
-    held = grid.groupBy("match_id").agg(F.max("total_sprints").alias("most"), F.min("total_sprints").alias("least"), ordered.alias("cells"))
-    middle = F.element_at("cells", F.floor((F.size("cells") - 1) / 2).cast("int") + 1)["total_sprints"]
-    return held.select("match_id", (F.try_divide(F.col("most") - F.col("least"), middle) * 100).alias("spread_pct"))
+def middle(cells: Column, key: str) -> Column:
+    """The lower median of the distinct values of ``key``."""
+    values = F.array_sort(F.array_distinct(F.transform(cells, lambda c: c[key])))
+    return F.element_at(values, F.floor((F.size(values) - 1) / 2).cast("int") + 1)
+
+
+def cell_spread(cells: Column, reference: dict[str, Column], fixed: tuple[str, ...] = ()) -> Column:
+    """(most - least) / reference * 100 of the values ``v`` of an array of cells, those alone that have the reference's
+    ``fixed`` keys. A reference that is missing or zero is an error."""
+
+    def at(keys):
+        def same(cell: Column) -> Column:
+            found = F.lit(True)
+            for k in keys:
+                found &= F.abs(cell[k] - reference[k]) < 1e-9
+            return found
+
+        return same
+
+    values = F.transform(F.filter(cells, at(fixed)), lambda c: c["v"])
+    own = F.get(F.filter(cells, at(tuple(reference))), 0)["v"]
+    checked = F.when(F.coalesce(own, F.lit(0)) != 0, own).otherwise(F.raise_error(F.lit("the reference cell is missing or zero")).cast("double"))
+    return (F.array_max(values) - F.array_min(values)) / checked * 100
+
+
+def spread_percent(grid: DataFrame, keys: tuple[str, ...] = ("threshold",), value: str = "total_sprints", baseline: tuple | None = None) -> DataFrame:
+    """By match (most - least) / reference * 100. The reference is the cell of ``baseline``, or that of the lower median of
+    the distinct values of each key. Its absence, or a zero there, is an error."""
+    held = grid.groupBy("match_id").agg(F.collect_list(F.struct(*keys, F.col(value).alias("v"))).alias("cells"))
+    reference = {k: F.lit(baseline[i]) if baseline else middle(F.col("cells"), k) for i, k in enumerate(keys)}
+    return held.select("match_id", cell_spread(F.col("cells"), reference).alias("spread_pct"))
 
 
 def apply_coverage(physical: DataFrame, coverage: DataFrame, least: float = 95.0) -> DataFrame:
@@ -112,7 +149,13 @@ def apply_coverage(physical: DataFrame, coverage: DataFrame, least: float = 95.0
     return joined.withColumns({m: F.when(~F.col("below_coverage"), F.col(m)) for m in metrics})
 
 
-def physical_table(kin: DataFrame, coverage: DataFrame, rate: float = 25.0) -> DataFrame:
-    sums = _players(kin).groupBy(*PLAYER).agg(F.sum("step_dist").alias("distance_m"), F.sum(F.when(F.col("speed") >= FAST, F.col("step_dist")).otherwise(0.0)).alias("hsr_distance_m"))
-    counts = sprint_counts(sprints(kin, rate=rate)).select(*PLAYER, "n_sprints")
-    return apply_coverage(sums.join(counts, PLAYER, "left").withColumn("n_sprints", F.coalesce("n_sprints", F.lit(0))), coverage)
+def physical_table(kin: DataFrame, coverage: DataFrame, rate: float = 25.0, fast: float = FAST, sprint: float = SPRINT, min_duration: float = 1.0, min_recovery: float = 1.0, least: float = 95.0) -> DataFrame:
+    """Distance, fast running, sprints and top speed, in one pass over the rows: a track's rows, with their effort if
+    they belong to one, are summed by effort, and the efforts by player."""
+    rows = _efforts(kin, F.lit(sprint), min_recovery, rate, TRACK)
+    counted = F.col("effort").isNotNull() & (F.col("rn") <= F.col("last"))
+    parts = rows.groupBy(*TRACK, "team", F.when(counted, F.col("effort")).alias("effort")).agg(
+        F.count("*").alias("n"), F.sum("step_dist").alias("d"), F.sum(F.when(F.col("speed") >= fast, F.col("step_dist")).otherwise(0.0)).alias("h"), F.max("top").alias("top"))
+    long_ = F.col("effort").isNotNull() & (F.col("n") / F.lit(rate) >= min_duration)
+    table = parts.groupBy(*PLAYER).agg(F.sum("d").alias("distance_m"), F.sum("h").alias("hsr_distance_m"), F.count_if(long_).alias("n_sprints"), F.max("top").alias("top_speed_mps"))
+    return apply_coverage(table, coverage, least)

@@ -27,7 +27,7 @@ def coverage_by_period(df: DataFrame) -> DataFrame:
     players = df.filter("NOT is_ball")
     frames = players.groupBy(*HALF).agg(F.count_distinct("frame_id").alias("n_total"))
     own = players.groupBy(*PLAYER, "period").agg(F.count_distinct("frame_id").alias("n_frames"))
-    return own.join(F.broadcast(frames), HALF).withColumn("coverage_pct", F.col("n_frames") * 100.0 / F.col("n_total"))  # frames: a row a half
+    return own.join(frames, HALF).withColumn("coverage_pct", F.col("n_frames") * 100.0 / F.col("n_total"))
 
 
 def coverage_by_match(df: DataFrame) -> DataFrame:
@@ -71,13 +71,23 @@ def nearest_frame(df: DataFrame, period: int, seconds: float) -> DataFrame:
     return frames.groupBy(*HALF).agg(F.min_by("frame_id", F.struct(F.abs(F.col("timestamp") - seconds), "frame_id")).alias("frame_id"))
 
 
+def nearest_frame_rows(df: DataFrame, period: int, seconds: float) -> DataFrame:
+    """All rows of the frame nearest the time, of each match."""
+    return df.join(nearest_frame(df, period, seconds), FRAME, "left_semi")
+
+
+def frame_cells(space: DataFrame, period: int, frame_id: int) -> DataFrame:
+    """Players' areas of one frame."""
+    return space.filter((F.col("period") == period) & (F.col("frame_id") == frame_id))
+
+
 def elapsed(df: DataFrame) -> DataFrame:
     """Frames with seconds since the match began: halves before count as long as their last time and one median step."""
     frames = df.select(*FRAME, "timestamp").distinct()
     step = F.col("timestamp") - F.lag("timestamp").over(Window.partitionBy(*HALF).orderBy("timestamp"))
     halves = frames.withColumn("step", step).groupBy(*HALF).agg((F.max("timestamp") + F.median("step")).alias("long"))
     before = F.coalesce(F.sum("long").over(Window.partitionBy("match_id").orderBy("period").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return frames.join(F.broadcast(halves.withColumn("before", before).drop("long")), HALF).select(*FRAME, (F.col("timestamp") + F.col("before")).alias("elapsed_s"))
+    return frames.join(halves.withColumn("before", before).drop("long"), HALF).select(*FRAME, (F.col("timestamp") + F.col("before")).alias("elapsed_s"))
 
 
 def gap_breaks(rows: DataFrame, key: list[str], value: str, longest: float = 1.0) -> DataFrame:

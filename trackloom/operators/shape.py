@@ -30,11 +30,25 @@ def attacking_direction(df: DataFrame) -> DataFrame:
     return ref.select(*HALF, "team", F.when(F.when(both, place == 1).otherwise(F.col("ref") <= 0), 1).otherwise(-1).alias("direction"))
 
 
+def direction_table(df: DataFrame, given: dict) -> DataFrame:
+    """match, period, team, direction (1 or -1) of every team and half of ``df``: ``given`` has (team, period) or team as
+    keys, the former counting first. A side without any is an error."""
+    if bad := {k: v for k, v in given.items() if v not in (1, -1)}:
+        raise ValueError(f"a direction is 1 or -1: {bad}")
+    rows = [(k, None, v) if isinstance(k, str) else (*k, v) for k, v in given.items()]
+    known = df.sparkSession.createDataFrame(rows, "team string, period tinyint, direction int")  # as many rows as given
+    sides = df.filter("NOT is_ball").select(*HALF, "team").distinct()
+    own = known.filter("period IS NOT NULL").withColumnRenamed("direction", "own")
+    whole = known.filter("period IS NULL").select("team", F.col("direction").alias("whole"))
+    missing = F.raise_error(F.concat(F.lit("no direction for "), F.col("team"), F.lit(", half "), F.col("period").cast("string"))).cast("int")
+    return sides.join(own, ["period", "team"], "left").join(whole, "team", "left").select(*HALF, "team", F.coalesce("own", "whole", missing).alias("direction"))
+
+
 def line_height(df: DataFrame, direction: DataFrame, deepest: int = DEEPEST) -> DataFrame:
     """Mean of the deepest players' x, seen in the direction of attack; fewer players than asked for: all of them."""
     if deepest < 1:
         raise ValueError("deepest must be at least 1")
-    rows = outfield(df).join(F.broadcast(direction), [*HALF, "team"])  # a row for each team and half
+    rows = outfield(df).join(direction, [*HALF, "team"])
     w = Window.partitionBy(*TEAM_FRAME).orderBy("dx", "track_id")
     return rows.withColumn("dx", F.col("x") * F.col("direction")).withColumn("k", F.row_number().over(w)).filter(F.col("k") <= deepest).groupBy(*TEAM_FRAME).agg(F.avg("dx").alias("line_height_m"))
 
@@ -50,10 +64,10 @@ def hull_area(points: Column) -> Column:
     return F.when((F.size(distinct) >= 3) & (area > 1e-9), area)
 
 
-def team_shape(df: DataFrame, direction: DataFrame | None = None, deepest: int = DEEPEST, hull: bool = True) -> DataFrame:
+def team_shape(df: DataFrame, direction: DataFrame | None = None, deepest: int = DEEPEST, hull: bool = True, least: int = LEAST_OUTFIELD) -> DataFrame:
     """One grouping for all of it: eleven players at most make a group."""
     direction = attacking_direction(df) if direction is None else direction
-    rows = outfield(alive(df)).join(F.broadcast(direction), [*HALF, "team"])
+    rows = outfield(alive(df)).join(direction, [*HALF, "team"])
     deep = F.slice(F.array_sort(F.collect_list(F.col("x") * F.col("direction"))), 1, deepest)
     mean = F.aggregate(deep, F.lit(0.0), lambda a, x: a + x) / F.size(deep)
     points = F.collect_list(F.struct("x", "y"))
@@ -61,7 +75,7 @@ def team_shape(df: DataFrame, direction: DataFrame | None = None, deepest: int =
         mean.alias("line_height_m"), (F.max("y") - F.min("y")).alias("width_m"), (F.max("x") - F.min("x")).alias("length_m"), points.alias("points"),
         F.avg("x").alias("cx_m"), F.avg("y").alias("cy_m"), F.count("*").alias("n_outfield"))
     area = hull_area(F.col("points")) if hull else F.lit(None).cast("double")
-    return found.withColumns({"hull_area_m2": area, "low_outfield_count": F.col("n_outfield") < LEAST_OUTFIELD}).drop("points")
+    return found.withColumns({"hull_area_m2": area, "low_outfield_count": F.col("n_outfield") < least}).drop("points")
 
 
 def compactness_median(shape: DataFrame) -> DataFrame:

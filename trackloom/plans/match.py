@@ -1,29 +1,130 @@
-"""A match's tables, from its tracking frame."""
+"""Runs over matches: the tables of a frame, all matches of all providers, and what has been written."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import dataclasses
+import json
+import math
+from dataclasses import dataclass
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import Run
 from ..operators import motion, physical, pressing, sampling, shape, space
+from ..sources import MatchMeta, Provider
+
+TABLES = ("tracking", "shape", "pressing", "space", "space_player", "physical", "coverage", "clip")
 
 
-def match_tables(df: DataFrame, cfg: motion.Motion = motion.Motion(), target_hz: float = 5.0, with_space: bool = True) -> dict[str, DataFrame]:
-    """Kinematics at the full rate come first; shape, pressing, space and coverage see the thinned frame."""
+def match_tables(df: DataFrame, run: Run, rate: float = 25.0) -> dict[str, DataFrame]:
+    """Kinematics at the full rate come first; shape, pressing, space and coverage see the thinned frame. ``df`` may hold
+    many matches of one rate."""
+    s, cfg, target = run.settings, run.motion(rate), run.rate(rate)
+    ph = s["physical"]
     kin = motion.kinematics(df, cfg)
-    thin = sampling.downsample(df, cfg.rate, target_hz)
+    thin = sampling.downsample(df, rate, target)
     coverage = sampling.coverage_by_match(thin)
+    table = physical.physical_table(kin, coverage, rate, ph["hsr_threshold_mps"], ph["sprint_threshold_mps"], ph["sprint_min_duration_s"], ph["sprint_min_recovery_s"], ph["min_coverage_pct"])
     out = {
-        "tracking": sampling.downsample(kin, cfg.rate, target_hz), "shape": shape.team_shape(thin), "pressing": pressing.pressing(thin),
-        "coverage": coverage, "physical": physical.physical_table(kin, coverage, cfg.rate), "report": motion.clip_report(kin, cfg),
+        "tracking": sampling.downsample(kin, rate, target), "shape": shape.team_shape(thin, deepest=int(s["shape"]["line_height_n_deepest"]), least=int(s["shape"]["min_outfield_players"])),
+        "pressing": pressing.pressing(thin, s["pressing"]["carrier_search_radius_m"], s["pressing"]["press_radius_m"]),
+        "coverage": coverage, "physical": table, "clip": motion.clip_report(kin, cfg),
     }
-    if with_space:
-        out["space_player"] = space.player_space(thin)
-        out["space"] = space.team_space(out["space_player"])
-    return out
+    pitch = s.get("pitch", {})
+    area = space.player_space(thin, bool(s["space"]["include_gk"]), True, pitch.get("length_m", 105.0), pitch.get("width_m", 68.0))
+    area = area if run.with_space else area.limit(0)
+    return out | {"space_player": area, "space": space.team_space(area)}
 
 
-def write_tables(tables: dict[str, DataFrame], path: str) -> None:
-    """A folder for each table, by match where it has one; writing a match again replaces it alone."""
+def write_tables(tables: dict[str, DataFrame], path: str, provider: str) -> None:
+    """A folder for each table, by provider and match; writing a match again replaces it alone."""
     for name, df in tables.items():
-        writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        (writer.partitionBy("match_id") if "match_id" in df.columns else writer).parquet(f"{path}/{name}")
+        writer = df.withColumn("provider", F.lit(provider)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("provider", "match_id").parquet(f"{path}/{name}")
+
+
+def number(x: float | None) -> float | None:
+    """For a report: 4 places, and null for what is no number."""
+    return None if x is None or not math.isfinite(x) else round(float(x), 4)
+
+
+def write_json(spark: SparkSession, path: str, found: dict) -> None:
+    """One object, on one line, anywhere that Spark writes."""
+    spark.createDataFrame([(json.dumps(found, allow_nan=False, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+@dataclass(frozen=True)
+class Artifacts:
+    provider: str
+    match_id: str
+    path: str
+
+
+def run_match(provider: Provider, match_id: str, run: Run) -> Artifacts:
+    """All tables of one match, and a JSON object about it."""
+    meta = provider.load_meta(match_id)
+    tables = match_tables(provider.load(match_id), run, meta.frame_rate)
+    write_tables(tables, run.path, provider.name)
+    spark = provider.spark
+    clip = read_table(spark, run.path, "clip", provider.name, match_id).first()
+    below = read_table(spark, run.path, "physical", provider.name, match_id).agg(F.count_if("below_coverage"), F.count("*")).first()
+    least = run.settings["physical"]["min_coverage_pct"]
+    note = f"{below[0]} of {below[1]} tracks below {least:g}% coverage: distance, fast running and sprints not reported for them" if below[0] else ""
+    names = ("n_clipped", "n_total", "clipped_share", "max_raw_speed", "glitch_steps", "glitch_frames")
+    about = {
+        "match_meta": dataclasses.asdict(meta) | {"periods": {str(k): list(v) for k, v in meta.periods.items()}}, "source_frame_rate_hz": meta.frame_rate, "cached_frame_rate_hz": run.rate(meta.frame_rate),
+        "target_hz_requested": run.target_hz, "clip_report": {n: number(clip[n]) for n in names} if clip else {}, "physical_note": note, "physical_min_coverage_pct": least,
+        "physical_computed_at_hz": meta.frame_rate, "include_space": run.with_space,
+    }
+    write_json(spark, f"{run.path}/meta/provider={provider.name}/match_id={match_id}", about)
+    return Artifacts(provider.name, match_id, run.path)
+
+
+def run_all(providers: list[Provider], run: Run) -> list[Artifacts]:
+    """Every match of every provider. Those that fail are named together at the end; the others have been written."""
+    done, failed = [], []
+    for provider in providers:
+        for match_id in provider.list_matches():
+            try:
+                done.append(run_match(provider, match_id, run))
+            except Exception as e:  # noqa: BLE001 - raised below, with its match
+                failed.append(f"{provider.name}/{match_id}: {e!r}")
+    if failed:
+        raise RuntimeError("matches that failed:\n" + "\n".join(failed))
+    return done
+
+
+def read_table(spark: SparkSession, path: str, name: str, provider: str | None = None, match_id: str | None = None) -> DataFrame:
+    df = spark.read.parquet(f"{path}/{name}")
+    df = df if provider is None else df.filter(F.col("provider") == provider)
+    return df if match_id is None else df.filter(F.col("match_id") == match_id)
+
+
+#: A match's object, as far as the index needs it.
+_META = "match_meta struct<home_team: string, away_team: string, periods: map<string, array<double>>>, cached_frame_rate_hz double, physical_note string, physical_min_coverage_pct double"
+
+
+def match_index(spark: SparkSession, path: str) -> DataFrame:
+    """provider, match_id, teams, periods, rate, note and label of every written match; damaged objects are passed over."""
+    rows = spark.read.text(f"{path}/meta").withColumn("m", F.from_json("value", _META, {"mode": "PERMISSIVE"}))
+    team = lambda side: F.coalesce(F.when(F.col(f"m.match_meta.{side}_team") != "", F.col(f"m.match_meta.{side}_team")), F.lit(side))
+    whole = F.map_filter("m.match_meta.periods", lambda k, v: k.try_cast("int").isNotNull() & (F.size(v) >= 2))
+    label = F.concat_ws(" · ", "provider", F.col("match_id").cast("string"), F.concat(team("home"), F.lit(" vs "), team("away")))
+    found = rows.filter("m.match_meta IS NOT NULL")
+    return found.select("provider", F.col("match_id").cast("string").alias("match_id"), team("home").alias("home_team"), team("away").alias("away_team"), whole.alias("periods"), F.col("m.cached_frame_rate_hz").alias("target_hz"), F.col("m.physical_note").alias("physical_note"), F.col("m.physical_min_coverage_pct").alias("min_coverage_pct"), label.alias("label")).orderBy("provider", "match_id")
+
+
+def run_summary(spark: SparkSession, path: str) -> DataFrame:
+    """provider, match_id, rows and tracks, and the share of clipped speeds."""
+    tracking = spark.read.parquet(f"{path}/tracking").groupBy("provider", "match_id").agg(F.count("*").alias("n_rows"), F.count_distinct(F.when(~F.col("is_ball"), F.col("track_id"))).alias("n_tracks"))
+    return tracking.join(spark.read.parquet(f"{path}/clip").select("provider", "match_id", "clipped_share"), ["provider", "match_id"], "left")
+
+
+def written_bytes(spark: SparkSession, path: str) -> int:
+    """How many bytes the tables take."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getContentSummary(folder).getLength()
+
+
+__all__ = ["Artifacts", "MatchMeta", "match_index", "match_tables", "read_table", "run_all", "run_match", "run_summary", "write_json", "write_tables", "written_bytes"]

@@ -1,12 +1,18 @@
-"""Where tracking frames come from. ``source(name)`` gives a reader by its name."""
+"""Where tracking frames come from. ``source(name)`` gives a reader by its name, ``provider`` a set of matches."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
-from . import csv_pair, events, jsonl
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-_SOURCES: dict[str, Callable] = {"events": events.tracking, "csv_pair": csv_pair.tracking, "jsonl": jsonl.tracking}
+from ..model import PITCH_LENGTH, PITCH_WIDTH, coerce, drop_off_pitch, validate
+from ..operators.sampling import match_meta, period_ranges
+from . import csv_pair, epts, events, jsonl
+
+_SOURCES: dict[str, Callable] = {"events": events.tracking, "csv_pair": csv_pair.tracking, "epts": epts.tracking, "jsonl": jsonl.tracking}
 
 
 def source(name: str) -> Callable:
@@ -14,3 +20,61 @@ def source(name: str) -> Callable:
     if key not in _SOURCES:
         raise KeyError(f"no source {name!r}; there are {', '.join(sorted(_SOURCES))}")
     return _SOURCES[key]
+
+
+@dataclass(frozen=True)
+class MatchMeta:
+    match_id: str
+    provider: str
+    frame_rate: float
+    pitch_length_m: float
+    pitch_width_m: float
+    home_team: str
+    away_team: str
+    #: period: (first second, last second)
+    periods: dict[int, tuple[float, float]]
+    notes: str = ""
+
+
+@dataclass(frozen=True)
+class Provider:
+    """Matches of one kind of source: ``matches`` has the source's own arguments by match id."""
+
+    spark: SparkSession
+    name: str
+    matches: dict[str, dict] = field(default_factory=dict)
+
+    def list_matches(self) -> list[str]:
+        return list(self.matches)
+
+    def _arguments(self, match_id: str) -> dict:
+        if match_id not in self.matches:
+            raise KeyError(f"no match {match_id!r} of {self.name}; there are {', '.join(self.matches)}")
+        return self.matches[match_id]
+
+    def frames(self, match_id: str) -> DataFrame:
+        """The match's frame as it is read, in the frame's types and on the pitch."""
+        own = {k: v for k, v in self._arguments(match_id).items() if k not in ("home_team", "away_team", "notes")}
+        if self.name == "events":
+            return drop_off_pitch(coerce(events.tracking(self.spark, **own).withColumn("match_id", F.lit(match_id))))
+        return drop_off_pitch(coerce(source(self.name)(self.spark, **own, match_id=match_id)))
+
+    def load(self, match_id: str) -> DataFrame:
+        return validate(self.frames(match_id))
+
+    def load_meta(self, match_id: str) -> MatchMeta:
+        """Without the players' columns: from the description, or from frame numbers and times alone."""
+        own = self._arguments(match_id)
+        teams, length, width = (own.get("home_team", "home"), own.get("away_team", "away")), own.get("length", PITCH_LENGTH), own.get("width", PITCH_WIDTH)
+        if self.name == "epts":
+            about = epts.describe(self.spark, own["xml"])
+            rate, teams, length, width = about.frame_rate, about.teams, about.length, about.width
+            periods = {k: ((a - about.periods[0][1]) / rate, (b - about.periods[0][1]) / rate) for k, a, b in about.periods}
+        elif self.name == "csv_pair":
+            rows = csv_pair.frame_meta(self.spark, own["home"]).collect()  # two halves
+            rate, periods = rows[0]["frame_rate"], {r["period"]: (r["start_s"], r["end_s"]) for r in sorted(rows)}
+        else:
+            frames = self.frames(match_id).select("match_id", "period", "frame_id", "timestamp")
+            rate = match_meta(frames).first()["frame_rate"]
+            periods = {r["period"]: (r["start_s"], r["end_s"]) for r in period_ranges(frames).collect()}  # two halves
+        return MatchMeta(match_id, self.name, rate, length, width, *teams, periods, own.get("notes", ""))

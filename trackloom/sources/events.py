@@ -11,8 +11,7 @@ RATE = 25.0
 def tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
     frame, slot = F.floor(F.col("event_id") / 23).cast("long"), F.col("event_id") % 23
-    last = events.agg(F.max(frame)).first()[0]
-    half = 0 if last is None else (last + 1) // 2
+    half = F.expr("half")
     first = F.col("frame_id") < half
     k, ball = F.when(F.col("slot") == 22, 0).otherwise(F.col("slot") % 11), F.col("slot") == 22
     keeper = (F.col("k") == 0) & ~ball
@@ -22,7 +21,8 @@ def tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     kd = F.col("k").cast("double")
     run = d * (F.abs((t * v + 3.0 * kd) % 80.0 - 40.0) - 28.0) + nz
     spike = F.when((F.col("event_type") == "signup") & (F.col("value") > 200), 5.0).otherwise(0.0)
-    laid = events.select("value", "event_type", frame.alias("frame_id"), slot.alias("slot"))
+    middle = events.agg(((F.max(frame) + 1) / 2).cast("long")).scalar()
+    laid = events.select("value", "event_type", frame.alias("frame_id"), slot.alias("slot")).withColumn("half", middle)
     laid = laid.withColumns({"k": k, "period": F.when(first, 1).otherwise(2).cast("tinyint"), "timestamp": (F.col("frame_id") - F.when(first, 0).otherwise(half)).cast("double") / RATE, "team": F.when(ball, "ball").when(F.col("slot") < 11, "home").otherwise("away")})
     lost = ((F.col("team") == "away") & (F.col("k") > 0) & (F.col("event_type") == "error")) | ((F.col("team") == "home") & (F.col("k") == 5) & (F.col("frame_id") % 120).between(60, 92))
     return laid.filter(~lost).select(

@@ -34,5 +34,16 @@ def wide_to_long(wide: DataFrame, players: list[str], keys: list[str]) -> DataFr
     return long_.filter("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
 
 
+def detected_pairs(records: DataFrame) -> DataFrame:
+    """(the key columns, track_id) of what a tracker really saw. ``records`` has key columns, period, ball (x, y,
+    is_detected) and players (track_id, is_detected): a missing mark counts as seen, a record without a period not."""
+    keys = [c for c in records.columns if c not in ("ball", "players")]
+    held = records.filter("period IS NOT NULL")
+    players = held.select(*keys, F.explode("players").alias("p")).filter(F.coalesce("p.is_detected", F.lit(True))).select(*keys, F.col("p.track_id").cast("string").alias("track_id"))
+    ball = held.filter("ball.x IS NOT NULL").filter(F.coalesce("ball.is_detected", F.lit(True))).select(*keys, F.lit("ball").alias("track_id"))
+    return players.unionByName(ball)
+
+
 def keep_detected(long_: DataFrame, detected: DataFrame) -> DataFrame:
-    return long_.join(detected, ["frame_id", "track_id"], "left_semi")
+    """The rows of ``long_`` that ``detected`` has, by all the key columns that it has."""
+    return long_.join(detected, detected.columns, "left_semi")

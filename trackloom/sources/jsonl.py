@@ -6,17 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import COLUMNS
-from .frames import ball_state, infer_keepers
+from .frames import ball_state, detected_pairs, infer_keepers, keep_detected
 
 RAW = "frame long, period int, timestamp double, ball_data struct<x: double, y: double, is_detected: boolean>, player_data array<struct<player_id: long, x: double, y: double, is_detected: boolean>>"
 
 
+def match_ids(spark: SparkSession, index: str) -> list[str]:
+    """The ids of an index file: a JSON array of objects with an ``id``, a row for each match on offer."""
+    return [r[0] for r in spark.read.json(index, multiLine=True).select(F.col("id").cast("string")).collect()]
+
+
 def detected(spark: SparkSession, path: str) -> DataFrame:
-    """(frame_id, track_id) that the tracker really saw; a missing mark counts as seen, a frame without a period not."""
-    raw = spark.read.schema(RAW).json(path).filter("period IS NOT NULL")
-    players = raw.select(F.col("frame").alias("frame_id"), F.explode("player_data").alias("p")).filter(F.coalesce("p.is_detected", F.lit(True))).select("frame_id", F.col("p.player_id").cast("string").alias("track_id"))
-    ball = raw.filter("ball_data.x IS NOT NULL").filter(F.coalesce("ball_data.is_detected", F.lit(True))).select(F.col("frame").alias("frame_id"), F.lit("ball").alias("track_id"))
-    return players.unionByName(ball)
+    """(frame_id, period, track_id) that the tracker really saw."""
+    players = F.transform("player_data", lambda p: F.struct(p["player_id"].alias("track_id"), p["is_detected"].alias("is_detected")))
+    return detected_pairs(spark.read.schema(RAW).json(path).select(F.col("frame").alias("frame_id"), "period", F.col("ball_data").alias("ball"), players.alias("players")))
 
 
 def tracking(spark: SparkSession, path: str, roster: DataFrame, match_id: str = "match", rate: float = 10.0) -> DataFrame:
@@ -28,6 +31,6 @@ def tracking(spark: SparkSession, path: str, roster: DataFrame, match_id: str =
     long_ = raw.select("frame", "period", state, F.explode(F.concat(F.array(ball), players)).alias("p")).select("frame", "period", "ball_state", "p.*").filter("x IS NOT NULL AND y IS NOT NULL")
     start = raw.groupBy("period").agg(F.min("frame").alias("f0"))
     squad = roster.select(F.col("track_id").cast("string").alias("track_id"), "team", F.col("jersey_number").cast("smallint").alias("jersey_number"))
-    laid = long_.join(F.broadcast(start), "period").join(squad, "track_id", "left").withColumn("team", F.when(F.col("track_id") == "ball", "ball").otherwise(F.col("team"))).filter("team IS NOT NULL")
+    laid = long_.join(start, "period").join(squad, "track_id", "left").withColumn("team", F.when(F.col("track_id") == "ball", "ball").otherwise(F.col("team"))).filter("team IS NOT NULL")
     laid = laid.withColumns({"match_id": F.lit(match_id), "frame_id": F.col("frame"), "period": F.col("period").cast("tinyint"), "timestamp": (F.col("frame") - F.col("f0")) / rate, "x_pitch": F.col("x"), "y_pitch": F.col("y"), "is_ball": F.col("team") == "ball", "is_gk": F.lit(False)})
-    return infer_keepers(laid.join(detected(spark, path), ["frame_id", "track_id"], "left_semi")).select(*COLUMNS)
+    return infer_keepers(keep_detected(laid, detected(spark, path))).select(*COLUMNS)
