@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: What ``spark.sql.sources.bucketing.maxBuckets`` allows by default.
+MOST_BUCKETS = 100_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -25,13 +28,65 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _kept_at(df: DataFrame, path: str) -> DataFrame:
+    df.scratch_path = path
+    return df
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = scratch(spark, name)
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    return _kept_at(spark.read.schema(schema).parquet(path), path)
+
+
+def materialise_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As ``materialise``, bucketed by ``key``, so that grouping by it later moves only the other side of a join."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    table_name = f"scratch_{uuid.uuid4().hex}"
+    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), MOST_BUCKETS)
+    df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(table_name)
+    found = spark.table(table_name)
+    found.schema  # resolved before the name goes; the files stay
+    spark.sql(f"DROP TABLE {table_name}")
+    return _kept_at(found, path)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what ``materialise`` wrote for ``frames``, once everything made from them is written itself. Spark removes
+    the shuffle files of finished steps when the driver collects garbage, so that is asked for as well."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    if frames:
+        frames[0].sparkSession._jvm.System.gc()
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def one_row_each(docs: DataFrame, mark: Column, keys: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, whose ``doc_id`` and ``mark`` (a binary column of theirs) are in ``keys``
+    (doc_id, mark, copies: how many rows have both). Of several rows with one key, one with the smallest text stays."""
+    name = {k: fresh_name(docs, f"_{k}_") for k in ("id", "mark", "copies")}
+    keys = keys.select(F.col("doc_id").alias(name["id"]), F.col("mark").alias(name["mark"]), F.col("copies").alias(name["copies"]))
+    marked = fresh_name(docs, "_own_mark_")
+    own = docs.withColumn(marked, mark)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(name["id"])) & (F.col(marked) == F.col(name["mark"]))
+    found = own.join(keys, same)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    single = found.filter(F.col(name["copies"]) == 1).select(*columns)
+    several = found.filter(F.col(name["copies"]) > 1).groupBy(name["id"], name["mark"]).agg(F.min_by(F.struct(*columns), F.coalesce("text", F.lit(""))).alias("row"))
+    return single.unionByName(several.select("row.*"))
 
 
 def text_or_empty(column: str = "text"):

@@ -6,29 +6,35 @@ with millions of copies is one row), then every group is looked up once: the slo
 byte, members join the historical group, and the others stay groups of their own.
 
 Defined results: a null text counts as empty and all empty texts are equal; a null ``doc_id`` never wins over a
-known one; rows that repeat a ``doc_id`` are one document and share an answer (``group_size`` counts rows);
-an empty table gives an empty result; columns besides ``doc_id`` and ``text`` are ignored.
+known one (a group of nulls alone keeps them); rows that repeat a ``doc_id`` with equal texts share an answer, and in the
+stage one of them stays (``group_size`` counts rows); with different texts they are judged apart; an empty table gives an empty result; columns besides ``doc_id`` and ``text`` are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, materialise, text_or_empty
+from .common import buckets_for, materialise, one_row_each, text_or_empty
 
 #: Distinct digests a shard's hash holds, about.
 DIGESTS_PER_SHARD = 50_000
 _SPACE = r"[\x20\x09-\x0D]+"
-_GROUP = "digest binary, n_chars int, winner long, group_size long"
+_GROUP = "digest binary, n_chars int, winner long, group_size long, holders long"
+_ARROW = pa.schema([("digest", pa.binary()), ("n_chars", pa.int32()), ("winner", pa.int64()), ("group_size", pa.int64()), ("holders", pa.int64())])
+
+
+def digest_of() -> Column:
+    """SHA-256 of the text without white space."""
+    return F.unhex(F.sha2(F.regexp_replace(text_or_empty(), _SPACE, "").cast("binary"), 256))
 
 
 def text_digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, n_chars): SHA-256 of the text without white space, and the original's code points."""
-    digest = F.unhex(F.sha2(F.regexp_replace(text_or_empty(), _SPACE, "").cast("binary"), 256))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"), F.length(text_or_empty()).alias("n_chars"))
+    """(doc_id, digest, n_chars): ``n_chars`` are the original text's code points."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest_of().alias("digest"), F.length(text_or_empty()).alias("n_chars"))
 
 
 class PerfectHash:
@@ -74,17 +80,20 @@ class PerfectHash:
         return out
 
 
-def _bytes(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint8).reshape(len(column), 32).copy()
+def _bytes(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), 32).copy()
+
 
+def _ids(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, which are known): whole numbers throughout, as a double has no room for large ones."""
+    return pc.fill_null(column, 0).to_numpy(), pc.is_valid(column).to_numpy()
 
-def _merge(_key: tuple, history: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFrame:
+
+def _merge(history: pa.Table, batch: pa.Table) -> pa.Table:
     """Groups of one shard: the historical ones, with what the batch adds to them, and the batch's own."""
-    if not len(history):
-        return batch.drop(columns="shard")
-    if not len(batch):
-        return history.drop(columns="shard")
-    history, batch = history.drop(columns="shard"), batch.drop(columns="shard")
+    history, batch = history.select(_ARROW.names).cast(_ARROW), batch.select(_ARROW.names).cast(_ARROW)
+    if not history.num_rows or not batch.num_rows:
+        return history if history.num_rows else batch
     known = _bytes(history["digest"])
     index = PerfectHash(known)
     order = np.empty(len(known), np.int64)
@@ -93,19 +102,26 @@ def _merge(_key: tuple, history: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFr
     slot = index.slots(asked)
     row = order[np.maximum(slot, 0)]
     member = (slot >= 0) & (known[row] == asked).all(axis=1)
-    old, new = history.iloc[row[member]].reset_index(drop=True), batch[member].reset_index(drop=True)
-    far = np.iinfo(np.int64).max
-    newer = (new["n_chars"] > old["n_chars"]) | ((new["n_chars"] == old["n_chars"]) & (new["winner"].fillna(far) < old["winner"].fillna(far)))
-    joined = old.assign(n_chars=np.where(newer, new["n_chars"], old["n_chars"]), winner=new["winner"].where(newer, old["winner"]), group_size=old["group_size"] + new["group_size"])
-    rest = np.ones(len(history), bool)
+    old, new = history.take(pa.array(row[member])), batch.filter(pa.array(member))
+    (old_id, old_known), (new_id, new_known) = _ids(old["winner"]), _ids(new["winner"])
+    old_chars, new_chars = old["n_chars"].to_numpy(), new["n_chars"].to_numpy()
+    lower = new_known & (~old_known | (new_id < old_id))
+    newer = (new_chars > old_chars) | ((new_chars == old_chars) & lower)
+    winner = pa.array(np.where(newer, new_id, old_id), pa.int64(), mask=~np.where(newer, new_known, old_known))
+    held = [np.where(newer, new[c].to_numpy(), old[c].to_numpy()) for c in ("n_chars", "holders")]
+    joined = pa.table([old["digest"], pa.array(held[0], pa.int32()), winner, pc.add(old["group_size"], new["group_size"]), pa.array(held[1], pa.int64())], schema=_ARROW)
+    rest = np.ones(len(known), bool)
     rest[row[member]] = False
-    return pd.concat([joined, history[rest], batch[~member]])
+    return pa.concat_tables([joined, history.filter(pa.array(rest)), batch.filter(pa.array(~member))])
 
 
 def digest_groups(digests: DataFrame) -> DataFrame:
-    """One row per digest: the longest text's, then the smallest, doc_id."""
-    best = F.max(F.struct("n_chars", F.col("doc_id").isNotNull().alias("known"), (-F.col("doc_id")).alias("rank"))).alias("best")
-    return digests.groupBy("digest").agg(best, F.count("*").alias("group_size")).select("digest", F.col("best.n_chars").alias("n_chars"), (-F.col("best.rank")).alias("winner"), "group_size")
+    """One row per digest: the longest text's, then the smallest, doc_id, and how many rows have that id and length."""
+    rows = digests.groupBy("digest", "doc_id", "n_chars").agg(F.count("*").alias("rows"))
+    # The complement turns the order of all ids around, the smallest one's as well.
+    best = F.max(F.struct("n_chars", F.col("doc_id").isNotNull().alias("known"), F.bitwise_not("doc_id").alias("rank"), "rows")).alias("best")
+    groups = rows.groupBy("digest").agg(best, F.sum("rows").alias("group_size"))
+    return groups.select("digest", F.col("best.n_chars").alias("n_chars"), F.bitwise_not("best.rank").alias("winner"), "group_size", F.col("best.rows").alias("holders"))
 
 
 def merge_groups(history: DataFrame, batch: DataFrame, shards: int) -> DataFrame:
@@ -114,30 +130,38 @@ def merge_groups(history: DataFrame, batch: DataFrame, shards: int) -> DataFrame
     batch = batch.withColumn("digest", F.concat("digest", F.lit(b"")))
     keyed = [g.withColumn("shard", F.pmod(F.xxhash64("digest"), F.lit(shards))) for g in (history, batch)]
     grouped = [k.groupBy("shard") for k in keyed]
-    return grouped[0].cogroup(grouped[1]).applyInPandas(_merge, _GROUP)
+    return grouped[0].cogroup(grouped[1]).applyInArrow(_merge, _GROUP)
 
 
-def exact_dedup(docs: DataFrame, history_to: int | None = None) -> DataFrame:
-    """Every row of ``docs`` with its group and whether it stays.
-
-    Rows up to the id ``history_to`` (by default the middle of the ids) are the historical batch, the others the
-    new one; the result doesn't depend on where the cut is.
-    """
+def _groups(docs: DataFrame, history_to: int | None) -> tuple[DataFrame, DataFrame]:
+    """(digests of every row, groups)."""
     digests = materialise(text_digests(docs), "digests")
     if history_to is None:
         low, high = digests.agg(F.min("doc_id"), F.max("doc_id")).first()
         history_to = 0 if low is None else (low + high) // 2
     old = F.coalesce(F.col("doc_id") <= history_to, F.lit(False))
     shards = buckets_for(digests.count(), DIGESTS_PER_SHARD)
-    groups = merge_groups(digest_groups(digests.filter(old)), digest_groups(digests.filter(~old)), shards)
+    return digests, merge_groups(digest_groups(digests.filter(old)), digest_groups(digests.filter(~old)), shards)
+
+
+def exact_dedup(docs: DataFrame, history_to: int | None = None) -> DataFrame:
+    """Every row of ``docs`` with its group and whether it stays.
+
+    Rows up to the id ``history_to`` (by default the middle of the ids) are the historical batch, the others the
+    new one; the result doesn't depend on where the cut is.
+    """
+    digests, groups = _groups(docs, history_to)
     found = digests.join(groups.select("digest", "winner", "group_size"), "digest")
     return found.select("doc_id", F.col("winner").alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(F.col("winner")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def keep_one_each(docs: DataFrame, history_to: int | None = None) -> DataFrame:
-    """The rows of ``docs``, all columns, that stay."""
-    found = exact_dedup(docs, history_to).filter("kept").select(F.col("doc_id").alias("_kept_doc_id_")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("_kept_doc_id_")), "left_semi")
+    """One row of ``docs``, all columns, for each group: the one that stays, and of several such rows (same id, same
+    text but for white space) the longest, then one with the smallest text."""
+    groups = _groups(docs, history_to)[1]
+    mark = lambda digest, size: F.concat(digest, F.unhex(F.lpad(F.hex(size), 8, "0")))
+    keys = groups.select(F.col("winner").alias("doc_id"), mark(F.col("digest"), F.col("n_chars")).alias("mark"), F.col("holders").alias("copies"))
+    return one_row_each(docs, mark(digest_of(), F.length(text_or_empty())), keys)
 
 
 ORACLE = r"""
