@@ -1,11 +1,16 @@
 """Near-duplicate vectors by PCA-ordered tiled comparison.
 
 Equal vectors are one class. The classes are rotated to their principal axes (of the unit vectors, about the origin),
-dealt in the order of the first axis into strips, and strips whose ranges on that axis come near enough are compared
-tile by tile: products of the leading dimensions are accumulated, what the others can add is bounded by the product
-of the suffix norms, and rows and columns of a tile that can't reach the threshold any more are left out. What
-remains is decided by the cosine of the original vectors in double precision. A pair of strips returns each class's
-number of links and its component among the two, never the links themselves.
+dealt in the order of the first axis into strips and these into runs, and runs whose ranges on that axis come near
+enough are compared. In a run, vectors are cut by the widest of the leading axes into tiles; tiles whose boxes are too
+far apart are passed over. In the others products of the leading dimensions are accumulated, what the rest can add is
+bounded by the product of the suffix norms, and rows and columns of a tile that can't reach the threshold any more are
+left out. What remains is decided by the cosine of the original vectors in double precision. A pair of runs returns each
+class's number of links and its component among the two, never the links themselves.
+
+The answer is exact, so where no axis tells vectors apart (as with random ones of many dimensions) the work is that of
+all pairs of tiles, cut short by the bounds, and a run is sent once for each other run: shuffle and work grow with the
+square of the number of distinct vectors, divided by ``RUN_COMPONENTS`` for the shuffle.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with nothing; vectors
 of different lengths don't link; rows that repeat a ``vec_id`` with another vector are one vertex of the components;
@@ -21,16 +26,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 from .components import components
 
 THRESHOLD = 0.9
-#: Vectors in a strip, about, and in a tile of it.
+#: Vectors in a strip and in a tile, at most, and components of the vectors of a run, about: what a task holds of a side.
 STRIP = 4_096
 TILE = 512
+RUN_COMPONENTS = 1 << 21
+#: Leading axes by which tiles are cut and told apart.
+BOX_AXES = 16
 #: Leading dimensions after which a tile is looked at again.
 STEPS = (8, 16, 32, 64, 128, 256, 512, 1024)
 #: For rounding in the bounds, which are of single precision.
@@ -93,17 +101,25 @@ def principal_axes(classes: DataFrame, width: int) -> np.ndarray:
 
     parts = classes.select("data", "size").mapInArrow(moments, "part int, data binary").groupBy("part").applyInPandas(added, "data binary").collect()  # 8 at most
     values, axes = np.linalg.eigh(sum((np.frombuffer(r[0]).reshape(d, d) for r in parts), np.zeros((d, d))))
-    whole = np.eye(width)
-    whole[:d, :d] = axes[:, np.argsort(-values)]
-    return whole
+    return axes[:, np.argsort(-values)]
+
+
+def _turned(unit: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Dimensions beyond those of the axes stay as they are."""
+    d = len(axes)
+    return np.concatenate([unit[:, :d] @ axes, unit[:, d:]], axis=1)
 
 
 def _strips(classes: DataFrame, axes: np.ndarray, width: int) -> DataFrame:
-    """(strip, low, high, data): classes in the order of the first axis; data holds id, members, size and vector."""
+    """(run, low, high, data): classes in the order of the first axis; data holds id, members, size and vector."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first = _unit(_matrix(batch.column(2).to_pylist(), batch.column(3).to_pylist(), width)) @ axes[:, 0] if batch.num_rows else []
+            first = [np.empty(0)]
+            for k in range(0, batch.num_rows, STRIP):
+                part = batch.slice(k, STRIP)
+                first.append(_unit(_matrix(part.column(2).to_pylist(), part.column(3).to_pylist(), width))[:, : len(axes)] @ axes[:, 0])
+            first = np.concatenate(first)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first, pa.float64())], [*batch.schema.names, "first"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,40 +133,64 @@ def _strips(classes: DataFrame, axes: np.ndarray, width: int) -> DataFrame:
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, part.schema) as out:
                     out.write_table(part)
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([low]), pa.array([high]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["strip", "low", "high", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([low]), pa.array([high]), pa.array([part.num_rows], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["strip", "low", "high", "n", "data"])
                 number += 1
 
     placed = classes.select("cls", "members", "data", "size").mapInArrow(place, "cls long, members long, data binary, size int, first double")
     parts = max(1, -(-classes.count() // STRIP))
     ordered = placed.repartitionByRange(parts, "first", "cls").sortWithinPartitions("first", "cls")
-    return materialise(ordered.mapInArrow(cut, "strip long, low double, high double, data binary"), "strips")
+    strips = materialise(ordered.mapInArrow(cut, "strip long, low double, high double, n long, data binary"), "strips")
+    # One row for each STRIP vectors, without the vectors: these are counted in order.
+    before = F.sum("n").over(Window.orderBy("low", "strip")) - F.col("n")
+    runs = strips.select("strip", F.floor(before / max(1, RUN_COMPONENTS // width)).cast("long").alias("run"), "low", "n")
+    return materialise(strips.join(runs.select("strip", "run"), "strip").select("run", "low", "high", "data"), "runs")
 
 
-def _near_strips(strips: DataFrame, reach: float) -> DataFrame:
-    """(a, b) of strips whose ranges on the first axis are within ``reach``, met by cells of that width."""
+def _near_runs(strips: DataFrame, reach: float) -> DataFrame:
+    """(a, b) of runs whose ranges on the first axis are within ``reach``, met by cells of that width."""
     cell = lambda x: F.floor(x / F.lit(reach))
-    ranges = strips.select("strip", "low", "high")
-    x = ranges.select(F.col("strip").alias("a"), F.col("low").alias("a_low"), F.col("high").alias("a_high"), F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))).alias("cell"))
-    y = ranges.select(F.col("strip").alias("b"), F.col("low").alias("b_low"), F.col("high").alias("b_high"), F.explode(F.sequence(cell(F.col("low")) - 1, cell(F.col("high")) + 1)).alias("cell"))
+    ranges = strips.groupBy("run").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    x = ranges.select(F.col("run").alias("a"), F.col("low").alias("a_low"), F.col("high").alias("a_high"), F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))).alias("cell"))
+    y = ranges.select(F.col("run").alias("b"), F.col("low").alias("b_low"), F.col("high").alias("b_high"), F.explode(F.sequence(cell(F.col("low")) - 1, cell(F.col("high")) + 1)).alias("cell"))
     near = (F.col("a") <= F.col("b")) & (F.col("b_low") - F.col("a_high") <= reach) & (F.col("a_low") - F.col("b_high") <= reach)
     return x.join(y, "cell").filter(near).select("a", "b").distinct()
 
 
-class _Strip:
-    def __init__(self, data: bytes, axes: np.ndarray, width: int):
-        rows = pa.ipc.open_stream(data).read_all()
-        self.cls, self.members = rows.column("cls").to_numpy(), rows.column("members").to_numpy()
-        self.size = rows.column("size").to_numpy()
-        self.vectors = _matrix(rows.column("data").to_pylist(), rows.column("size").to_pylist(), width)
-        self.unit = _unit(self.vectors)
-        turned = self.unit @ axes
-        self.first, self.turned = turned[:, 0], turned.astype(np.float32)
+def _tiles(turned: np.ndarray) -> list[np.ndarray]:
+    """Rows by tile: halves by the widest of the leading axes, until they are small enough."""
+    done, open_ = [], [np.arange(len(turned))]
+    while open_:
+        rows = open_.pop()
+        if len(rows) <= TILE:
+            done.append(rows)
+            continue
+        axis = int(np.ptp(turned[rows, :BOX_AXES], axis=0).argmax())
+        order = rows[np.argpartition(turned[rows, axis], len(rows) // 2)]
+        open_ += [order[: len(rows) // 2], order[len(rows) // 2 :]]
+    return done
+
+
+class _Run:
+    """Vectors of a run, tile after tile."""
+
+    def __init__(self, data: list[bytes], axes: np.ndarray, width: int):
+        rows = pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in data])
+        unit = _unit(_matrix(rows.column("data").to_pylist(), rows.column("size").to_pylist(), width))
+        turned = _turned(unit, axes)
+        tiles = _tiles(turned)
+        order = np.concatenate(tiles)
+        ends = np.cumsum([len(t) for t in tiles])
+        self.tiles = [slice(e - len(t), e) for t, e in zip(tiles, ends.tolist())]
+        self.cls, self.members, self.size = (rows.column(c).to_numpy()[order] for c in ("cls", "members", "size"))
+        self.unit, turned = unit[order], turned[order]
+        self.low, self.high = (np.array([f(turned[t, :BOX_AXES], axis=0) for t in self.tiles]) for f in (np.min, np.max))
         squares = np.cumsum((turned * turned)[:, ::-1], axis=1)[:, ::-1]
+        self.turned = turned.astype(np.float32)
         self.suffix = np.sqrt(np.concatenate([squares, np.zeros((len(turned), 1))], axis=1)).astype(np.float32)
         self.links = np.zeros(len(self.cls), np.int64)
 
 
-def _tile(x: _Strip, i: slice, y: _Strip, j: slice, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+def _tile(x: _Run, i: slice, y: _Run, j: slice, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     """(rows, columns, which of them link) of a tile, or None if nothing can."""
     rows, cols = np.arange(*i.indices(len(x.cls))), np.arange(*j.indices(len(y.cls)))
     width, done, product = x.turned.shape[1], 0, np.zeros((len(rows), len(cols)), np.float32)
@@ -184,19 +224,21 @@ def _compare(axes: np.ndarray, width: int, threshold: float, reach: float):
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         same = left.column("a")[0].as_py() == left.column("b")[0].as_py()
-        x = _Strip(left.column("data")[0].as_py(), axes, width)
-        y = x if same else _Strip(right.column("data")[0].as_py(), axes, width)
+        x = _Run(left.column("data").to_pylist(), axes, width)
+        y = x if same else _Run(right.column("data").to_pylist(), axes, width)
         n = len(x.cls)
         cls = x.cls if same else np.concatenate([x.cls, y.cls])
         order = np.argsort(cls, kind="stable")
         rank = np.empty(len(cls), np.int64)
         rank[order] = np.arange(len(cls))
         label = np.arange(len(cls))
-        for p in range(0, n, TILE):
-            for q in range(p if same else 0, len(y.cls), TILE):
-                i, j = slice(p, p + TILE), slice(q, q + TILE)
-                if y.first[j].min() - x.first[i].max() > reach or x.first[i].min() - y.first[j].max() > reach:
+        for p, i in enumerate(x.tiles):
+            gaps = np.maximum(np.maximum(y.low - x.high[p], x.low[p] - y.high), 0)
+            near = (gaps * gaps).sum(axis=1) <= reach * reach
+            for q in np.flatnonzero(near).tolist():
+                if same and q < p:
                     continue
+                j = y.tiles[q]
                 if (found := _tile(x, i, y, j, threshold)) is None:
                     continue
                 rows, cols, linked = found
@@ -226,12 +268,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     axes, reach = principal_axes(classes, width), math.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
     strips = _strips(classes, axes, width)
-    pairs = materialise(_near_strips(strips, reach), "strip-pairs")
+    pairs = materialise(_near_runs(strips, reach), "run-pairs")
     # Columns of its own for each side: cogroup mixes up those that both have from one relation.
-    left = pairs.join(strips.select(F.col("strip").alias("a"), "data"), "a").select("a", "b", "data")
-    right = pairs.join(strips.select(F.col("strip").alias("b"), F.concat("data", F.lit(b"")).alias("data")), "b").select((F.col("a") + 0).alias("a"), (F.col("b") + 0).alias("b"), "data")
+    left = pairs.join(strips.select(F.col("run").alias("a"), "data"), "a").select("a", "b", "data")
+    right = pairs.join(strips.select(F.col("run").alias("b"), F.concat("data", F.lit(b"")).alias("data")), "b").select((F.col("a") + 0).alias("a"), (F.col("b") + 0).alias("b"), "data")
     sides = left.groupBy("a", "b"), right.groupBy("a", "b")
     found = materialise(sides[0].cogroup(sides[1]).applyInArrow(_compare(axes, width, threshold, reach), "cls long, links long, other long"), "found")
+    discard(strips, pairs)
     labels = components(found.filter("cls <> other").select(F.col("cls").alias("a"), F.col("other").alias("b")))
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     known = classes.select("key", "cls", "members").join(links, "cls", "left").join(labels.withColumnRenamed("id", "cls"), "cls", "left")
