@@ -1,8 +1,11 @@
 """WARC archives with revisit records.
 
-Only headers (page id, digest, length) are shuffled by payload digest: each digest's smallest page id is the
-original, and the other pages with that payload become revisit records which refer to it. The archives are gzip
-files of WARC/1.1 records with fresh headers, written and read back by Spark, so any store that Spark reaches does.
+Only headers (digest, page id, length and where the page stands) are shuffled, by payload digest: each digest's smallest
+page id is the original, and the other pages with that payload become revisit records which refer to it. Pages are
+written once in blocks, and the answers come to the blocks. The archives are gzip files of WARC/1.1 records with fresh
+headers, written and read back by Spark, so any store that Spark reaches does; Spark's writer makes one gzip member a
+file. A file has ``FILE_BYTES`` at most before compression (one record may be larger), as a reading task takes it whole:
+pages over ``SMALL_BYTES`` go to archives of their own, with fewer records each.
 
 Defined results: a null page counts as an empty payload; payloads under ``least_bytes`` are never revisits; rows
 that repeat the original's ``page_id`` are responses too; a page without an id becomes a revisit only of a page
@@ -17,15 +20,22 @@ import hashlib
 import io
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import cut_blocks, unpack_rows, with_answers
 from .common import scratch
 
 LEAST_BYTES = 100
-#: Records in a file at most: a reading task takes whole files.
-RECORDS_PER_FILE = 5_000
+#: Bytes in a file, and bytes of a page that goes with the others.
+FILE_BYTES = 256_000_000
+SMALL_BYTES = 64_000
+#: Headers' share of a file.
+HEAD_BYTES = 1_000
+#: Copies of an original's page id that go out, so that its revisits needn't meet in one task.
+SALTS = 16
 _CRLF = "\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -36,12 +46,29 @@ def resolve_revisits(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFr
     """page_id, url, payload, payload_bytes, payload_digest, refers_to (null for responses)."""
     payload = F.coalesce(F.col("html"), F.lit(""))
     page = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload.cast("binary"), 256).alias("payload_digest"))
-    headers = page.filter(F.col("payload_bytes") >= least_bytes).select("page_id", "payload_digest")
-    originals = headers.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("copies")).filter("copies > 1 AND refers_to IS NOT NULL").drop("copies")
-    revisits = headers.join(originals, "payload_digest").filter("NOT (page_id <=> refers_to)").distinct()
-    p, r = page.alias("p"), revisits.alias("r")
-    same = F.col("p.page_id").eqNullSafe(F.col("r.page_id")) & (F.col("p.payload_digest") == F.col("r.payload_digest"))
-    return p.join(r, same, "left").select("p.*", "r.refers_to")
+    blocks = cut_blocks(page, "pages")
+
+    def headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rows = unpack_rows(data.as_py())
+                n = rows.num_rows
+                columns = pa.array([block] * n, pa.int64()), pa.array(range(n), pa.int64()), *(rows.column(c).combine_chunks() for c in ("page_id", "payload_bytes", "payload_digest"))
+                yield from pa.table(list(columns), ["block", "row", "page_id", "payload_bytes", "payload_digest"]).to_batches()
+
+    found = blocks.select("block", "data").mapInArrow(headers, "block long, row long, page_id long, payload_bytes long, payload_digest string")
+    found = found.filter(F.col("payload_bytes") >= least_bytes).withColumn("salt", F.pmod("row", F.lit(SALTS)))
+    originals = found.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("copies")).filter("copies > 1 AND refers_to IS NOT NULL")
+    originals = originals.select("payload_digest", "refers_to", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    revisits = found.join(originals, ["payload_digest", "salt"]).filter("NOT (page_id <=> refers_to)").select("block", "row", "refers_to")
+
+    def referring(_block: int, rows: pa.Table, answers: pa.Table) -> pa.Table:
+        refers_to, known = np.zeros(rows.num_rows, np.int64), np.zeros(rows.num_rows, bool)
+        at = answers.column("row").to_numpy()
+        refers_to[at], known[at] = answers.column("refers_to").to_numpy(), True
+        return rows.append_column("refers_to", pa.array(refers_to, mask=~known))
+
+    return with_answers(blocks, revisits, referring, "page_id long, url string, payload string, payload_bytes long, payload_digest string, refers_to long")
 
 
 def _record_id(page_id: Column) -> Column:
@@ -72,9 +99,14 @@ def warc_records(resolved: DataFrame, date: str) -> DataFrame:
     return resolved.select(F.concat(head, F.lit(_CRLF), block).alias("value"))
 
 
-def write_archives(records: DataFrame, path: str) -> None:
-    """A record ends with two line ends, which is what the text writer puts between lines."""
-    records.write.option("lineSep", _CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+def write_archives(resolved: DataFrame, path: str, date: str, largest: int) -> None:
+    """Archives of pages as ``resolve_revisits`` gives them, whose payloads have ``largest`` bytes at most. A record ends
+    with two line ends, which is what the text writer puts between lines."""
+    small = F.col("payload_bytes") <= SMALL_BYTES
+    for name, size, which in (("small", SMALL_BYTES, small), ("large", largest, ~small)):
+        if name == "small" or largest > SMALL_BYTES:
+            records = max(1, FILE_BYTES // (size + HEAD_BYTES))
+            warc_records(resolved.filter(which), date).write.option("lineSep", _CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", records).text(f"{path}/{name}")
 
 
 def _headers(stream) -> dict[str, str]:
@@ -117,13 +149,14 @@ def read_archives(spark, path: str) -> DataFrame:
                 columns = list(zip(*_records(content.as_py()))) or [[] for _ in _ARROW]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").mapInArrow(parse, _SCHEMA)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(parse, _SCHEMA)
 
 
 def archive_round_trip(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     spark = pages.sparkSession
     path = scratch(spark, "warc")
-    write_archives(warc_records(resolve_revisits(pages), date), path)
+    largest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    write_archives(resolve_revisits(pages), path, date, largest)
     return read_archives(spark, path)
 
 
