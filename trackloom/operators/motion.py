@@ -70,42 +70,42 @@ def uniform_grid(laid: DataFrame, cfg: Motion = Motion()) -> tuple[DataFrame, Da
     return s, g.select(*SEGMENT, "g", "n_grid", ahead("x").alias("gx"), ahead("y").alias("gy"))
 
 
-def _derivative(c: str, cfg: Motion) -> Column:
-    """d/dt at a grid point of its segment, per the columns g and n_grid; m is half the window that fits."""
-    w, whole = Window.partitionBy(*SEGMENT).orderBy("g"), Window.partitionBy(*SEGMENT)
+def _derivative(c: str, cfg: Motion, reach: int) -> Column:
+    """d/dt at a grid point of its segment, per the columns g, n_grid and around_<c>: the values of the points up to
+    ``reach`` away, in order. m is half the window that fits."""
     half, dt = cfg.window // 2, cfg.dt
-    g, n = F.col("g"), F.col("n_grid")
+    g, n, around = F.col("g"), F.col("n_grid"), F.col(f"around_{c}")
     # One row of sums would be divided by zero where there are one or two points: m is at least 1 there.
-    m = F.greatest(F.least(F.lit(half), F.floor((n - 1) / 2)), F.lit(1)).cast("long")
-    inner = sum((float(k) * (F.lead(c, k).over(w) - F.lag(c, k).over(w)) for k in range(1, half + 1)), F.lit(0.0)) / (half * (half + 1) * (2 * half + 1) / 3 * dt)
+    m = F.greatest(F.least(F.lit(half), F.floor((n - 1) / 2)), F.lit(1)).cast("int")
+    own = F.least(g, F.lit(reach)).cast("int")
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
+    inner = total(F.transform(F.sequence(F.lit(1), F.lit(half)), lambda k: k * (F.get(around, own + k) - F.get(around, own - k)))) / (half * (half + 1) * (2 * half + 1) / 3 * dt)
     md = m.cast("double")
     s2 = md * (md + 1) * (2 * md + 1) / 3
     s4 = s2 * (3 * md * md + 3 * md - 1) / 5
     width = 2 * md + 1
 
-    def fitted(centre: Column) -> Column:
-        k = (g - centre).cast("double")
-        here = F.abs(g - centre) <= m
-        total = lambda x: F.sum(F.when(here, x).otherwise(0.0)).over(whole)
-        a1 = total(k * F.col(c)) / s2
+    def fitted(first: Column, centre: Column) -> Column:
+        values, k = F.slice(around, first, 2 * m + 1), (g - centre).cast("double")
+        a1 = total(F.transform(values, lambda v, i: (i - m) * v)) / s2
         if cfg.order == 1:
             return a1 / dt
-        a2 = (width * total(k * k * F.col(c)) - s2 * total(F.col(c))) / (width * s4 - s2 * s2)
+        a2 = (width * total(F.transform(values, lambda v, i: (i - m) * (i - m) * v)) - s2 * total(values)) / (width * s4 - s2 * s2)
         return (a1 + 2 * a2 * k) / dt
 
-    head, tail = fitted(m), fitted(n - 1 - m)
-    ends = (F.max(c).over(whole.orderBy("g").rowsBetween(1, 1)) - F.col(c)) / dt
-    pair = F.coalesce(ends, (F.col(c) - F.lag(c).over(w)) / dt, F.lit(0.0))
+    head, tail = fitted(F.lit(1), m), fitted(F.greatest(F.size(around) - 2 * m, F.lit(1)), n - 1 - m)
+    pair = (F.get(around, F.lit(1)) - F.get(around, F.lit(0))) / dt
     return F.when(n == 1, 0.0).when(n == 2, pair).when((n >= cfg.window) & g.between(half, n - 1 - half), inner).when(F.when(n >= cfg.window, g < half).otherwise(g <= m), head).otherwise(tail)
 
 
 def grid_velocity(grid: DataFrame, cfg: Motion = Motion(), windows: tuple[int, ...] | None = None) -> DataFrame:
-    """Velocity at every grid point, as columns gvx_<window> and gvy_<window>: all windows in one pass."""
-    columns = {}
-    for window in windows or (cfg.window,):
-        own = replace(cfg, window=window)
-        columns |= {f"gv{c}_{window}": _derivative(f"g{c}", own) for c in "xy"}
-    return grid.withColumns(columns).select(*SEGMENT, "g", *columns)
+    """Velocity at every grid point, as columns gvx_<window> and gvy_<window>: all windows from the same values around."""
+    windows = windows or (cfg.window,)
+    reach = 2 * (max(windows) // 2)
+    w = Window.partitionBy(*SEGMENT).orderBy("g").rowsBetween(-reach, reach)
+    wide = grid.withColumns({f"around_{c}": F.collect_list(f"g{c}").over(w) for c in "xy"})
+    columns = {f"gv{c}_{k}": _derivative(c, replace(cfg, window=k), reach) for k in windows for c in "xy"}
+    return wide.select(*SEGMENT, "g", *(v.alias(k) for k, v in columns.items()))
 
 
 def kinematics(df: DataFrame, cfg: Motion = Motion()) -> DataFrame:
