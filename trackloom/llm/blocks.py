@@ -1,7 +1,8 @@
 """Blocks of rows, and what blocks ask of the whole corpus.
 
-A block holds the rows of one task up to a number of characters, compressed, and is written once to the shared
-folder. An operator that needs corpus-wide facts about the units of its texts (n-grams, shingles, byte strings)
+A block holds the rows of one task up to a number of bytes, compressed, and is written once to the shared folder. The
+table is bucketed by ``part`` (up to ``BLOCKS_PER_PART`` blocks of a task, one file), so answers come to the blocks and
+texts are never shuffled. An operator that needs corpus-wide facts about the units of its texts (n-grams, shingles, byte strings)
 sends each block's *distinct* units to buckets, and gets the answers back by block. A unit that occurs a million
 times in a block is sent once, so neither a hot key nor a long text makes a large group; the number of buckets
 grows with the data, the size of a block and of a bucket's share does not.
@@ -19,12 +20,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, materialise
+from .common import buckets_for, materialise_by
 
-#: A block is closed at so many bytes of text.
-BLOCK_BYTES = 12_000_000
+#: A block is closed at so many bytes of all its columns.
+BLOCK_BYTES = 6_000_000
+#: Blocks that a task holds at once, compressed, when answers come back.
+BLOCKS_PER_PART = 8
 #: Bytes of text that one bucket of distinct units stands for.
-BYTES_PER_BUCKET = 24_000_000
+BYTES_PER_BUCKET = 12_000_000
 #: Bits of a 64-bit hash that are compared; more only cost space.
 HASH_BITS = 52
 
@@ -33,15 +36,26 @@ def pack_rows(rows: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, rows.schema) as out:
         out.write_table(rows)
-    return zstandard.compress(sink.getvalue(), 3)
+    return zstandard.compress(sink.getvalue(), 9)
 
 
 def unpack_rows(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(zstandard.decompress(data)).read_all()
 
 
+def _row_bytes(batch: pa.RecordBatch) -> np.ndarray:
+    """Bytes of each row: strings as they are, other columns by their mean."""
+    sizes = np.zeros(batch.num_rows)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        else:
+            sizes += column.nbytes / max(1, batch.num_rows)
+    return sizes.astype(np.int64)
+
+
 def cut_blocks(docs: DataFrame, name: str = "blocks", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(block, n_bytes, data): the rows of ``docs`` in blocks, written to the shared folder."""
+    """(part, block, n_bytes, data): the rows of ``docs`` in blocks, written to the shared folder."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -50,24 +64,24 @@ def cut_blocks(docs: DataFrame, name: str = "blocks", block_bytes: int = BLOCK_B
         held, size = [], 0
 
         def block() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"block": pa.array([number], pa.int64()), "n_bytes": pa.array([size], pa.int64()), "data": pa.array([pack_rows(pa.Table.from_batches(held))], pa.binary())})
+            columns = pa.array([number // BLOCKS_PER_PART], pa.int64()), pa.array([number], pa.int64()), pa.array([size], pa.int64()), pa.array([pack_rows(pa.Table.from_batches(held))], pa.binary())
+            return pa.RecordBatch.from_arrays(list(columns), ["part", "block", "n_bytes", "data"])
 
         for batch in batches:
-            lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index("text"))), 0).to_numpy(zero_copy_only=False)
-            start, ends = 0, np.cumsum(lengths.astype(np.int64))
-            while start < len(lengths):
+            start, ends = 0, np.cumsum(_row_bytes(batch))
+            while start < len(ends):
                 before = ends[start - 1] if start else 0
                 stop = max(start + 1, int(np.searchsorted(ends, before + block_bytes - size, "right")))
                 held.append(batch.slice(start, stop - start))
                 size += int(ends[stop - 1] - before)
                 start = stop
-                if size >= block_bytes or start < len(lengths):
+                if size >= block_bytes or start < len(ends):
                     yield block()
                     number, held, size = number + 1, [], 0
         if held:
             yield block()
 
-    return materialise(docs.mapInArrow(cut, "block long, n_bytes long, data binary"), name)
+    return materialise_by(docs.mapInArrow(cut, "part long, block long, n_bytes long, data binary"), name, "part")
 
 
 def bucket_count(blocks: DataFrame) -> int:
@@ -109,60 +123,70 @@ def _cut_hashes(hashes: np.ndarray) -> np.ndarray:
     return hashes >> np.uint64(64 - HASH_BITS)
 
 
-def ask(block: int, hashes: np.ndarray, weights: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes, bytes]]:
+def _kind(most: int) -> str:
+    return "u1" if most <= 255 else "<u2"
+
+
+def ask(block: int, hashes: np.ndarray, weights: np.ndarray, buckets: int, most: int) -> Iterator[tuple[int, int, bytes, bytes]]:
     """Rows (block, bucket, hashes, weights) of a block's sorted distinct hashes; a bucket is a range of hashes."""
     edges = (np.arange(buckets + 1, dtype=object) << 64) // buckets
     at = np.searchsorted(hashes, np.array(edges[1:-1], np.uint64))
     for bucket, (a, b) in enumerate(zip([0, *at], [*at, len(hashes)])):
         if b > a:
             part = _cut_hashes(hashes[a:b])
-            yield block, bucket, shrink(np.diff(part, prepend=np.uint64(0))), shrink(np.minimum(weights[a:b], 255).astype(np.uint8))
+            yield block, bucket, shrink(np.diff(part, prepend=np.uint64(0))), shrink(np.minimum(weights[a:b], most).astype(_kind(most)))
 
 
 ASKED = "block long, bucket int, hashes binary, weights binary"
 
 
-def _total(rows: pd.DataFrame) -> pd.DataFrame:
-    """A bucket's hashes over all blocks: each gets the sum of its weights (255: that or more)."""
-    parts = [np.cumsum(grow(h, "<u8"), dtype=np.uint64) for h in rows["hashes"]]
-    known, inverse = np.unique(np.concatenate(parts), return_inverse=True)
-    sums = np.bincount(inverse, np.concatenate([grow(w, "u1") for w in rows["weights"]]), len(known))
-    sums, ends = np.minimum(sums, 255).astype(np.uint8)[inverse], np.cumsum([len(p) for p in parts])
-    totals = [shrink(sums[e - len(p) : e]) for p, e in zip(parts, ends)]
-    return pd.DataFrame({"block": rows["block"], "bucket": rows["bucket"], "totals": totals})
+def _total(most: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def total(rows: pd.DataFrame) -> pd.DataFrame:
+        """A bucket's hashes over all blocks: each gets the sum of its weights (``most``: that or more)."""
+        parts = [np.cumsum(grow(h, "<u8"), dtype=np.uint64) for h in rows["hashes"]]
+        known, inverse = np.unique(np.concatenate(parts), return_inverse=True)
+        sums = np.bincount(inverse, np.concatenate([grow(w, _kind(most)) for w in rows["weights"]]), len(known))
+        sums, ends = np.minimum(sums, most).astype(_kind(most))[inverse], np.cumsum([len(p) for p in parts])
+        totals = [shrink(sums[e - len(p) : e]) for p, e in zip(parts, ends)]
+        return pd.DataFrame({"block": rows["block"], "bucket": rows["bucket"], "totals": totals})
+
+    return total
 
 
-def corpus_totals(blocks: DataFrame, units: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], buckets: int, name: str) -> DataFrame:
+def corpus_totals(blocks: DataFrame, units: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], buckets: int, most: int = 255) -> DataFrame:
     """(block, bucket, totals): for a block's sorted distinct hashes, as ``units`` gives them with weights (how many
-    documents of the block have them), the weights' sums over all blocks."""
+    documents of the block have them), the weights' sums over all blocks, ``most`` at most."""
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows = list(ask(block, *units(unpack_rows(data.as_py())), buckets))
+                rows = list(ask(block, *units(unpack_rows(data.as_py())), buckets, most))
                 columns = list(zip(*rows)) or [[]] * 4
                 kinds = pa.int64(), pa.int32(), pa.binary(), pa.binary()
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["block", "bucket", "hashes", "weights"])
 
-    return blocks.select("block", "data").mapInArrow(asked, ASKED).groupBy("bucket").applyInPandas(_total, "block long, bucket int, totals binary")
+    return blocks.select("block", "data").mapInArrow(asked, ASKED).groupBy("bucket").applyInPandas(_total(most), "block long, bucket int, totals binary")
 
 
-def answers(totals: pa.Table) -> np.ndarray:
+def answers(totals: pa.Table, most: int = 255) -> np.ndarray:
     """The totals of one block, in the order of its sorted distinct hashes."""
     by = sorted(zip(totals.column("bucket").to_pylist(), totals.column("totals").to_pylist()))
-    return np.concatenate([np.empty(0, np.uint8), *(grow(t, "u1") for _, t in by)])
+    return np.concatenate([np.empty(0, _kind(most)), *(grow(t, _kind(most)) for _, t in by)])
 
 
 def with_answers(blocks: DataFrame, found: DataFrame, make: Callable[[int, pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """``make(block, rows, what was found for it)`` for every block."""
+    """``make(block, rows, what was found for it)`` for every block. ``found`` has a column ``block``."""
     from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
 
     kinds = to_arrow_schema(_parse_datatype_string(schema))
 
     def joined(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return kinds.empty_table()
-        return make(left.column("block")[0].as_py(), unpack_rows(left.column("data")[0].as_py()), right)
-
-    return blocks.select("block", "data").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(joined, schema)
+        made = []
+        for block, data in zip(left.column("block").to_pylist(), left.column("data")):
+            own = right.filter(pc.equal(right.column("block"), block)) if right.num_rows else right
+            made.append(make(block, unpack_rows(data.as_py()), own).cast(kinds))
+        return pa.concat_tables(made) if made else kinds.empty_table()
+
+    answers = found.withColumn("part", F.expr(f"block div {BLOCKS_PER_PART}"))
+    return blocks.select("part", "block", "data").groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(joined, schema)

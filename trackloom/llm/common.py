@@ -42,12 +42,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return _kept_at(spark.read.schema(schema).parquet(path), path)
 
 
-def materialise_by(df: DataFrame, name: str, key: str) -> DataFrame:
-    """As ``materialise``, bucketed by ``key``, so that grouping by it later moves only the other side of a join."""
+def materialise_by(df: DataFrame, name: str, key: str, deal: bool = False) -> DataFrame:
+    """As ``materialise``, bucketed by ``key``, so that grouping by it later moves only the other side of a join. With
+    ``deal`` the rows are shuffled by it before, else a task writes a file for each bucket that it has."""
     spark = df.sparkSession
     path = scratch(spark, name)
     table_name = f"scratch_{uuid.uuid4().hex}"
     buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), MOST_BUCKETS)
+    df = df.repartition(buckets, key) if deal else df
     df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(table_name)
     found = spark.table(table_name)
     found.schema  # resolved before the name goes; the files stay
@@ -56,14 +58,18 @@ def materialise_by(df: DataFrame, name: str, key: str) -> DataFrame:
 
 
 def discard(*frames: DataFrame) -> None:
-    """Delete what ``materialise`` wrote for ``frames``, once everything made from them is written itself. Spark removes
-    the shuffle files of finished steps when the driver collects garbage, so that is asked for as well."""
+    """Delete what ``materialise`` wrote for ``frames``, once everything made from them is written itself."""
     for df in frames:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
     if frames:
-        frames[0].sparkSession._jvm.System.gc()
+        drop_shuffles(frames[0].sparkSession)
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Spark removes the shuffle files of finished steps when the driver collects garbage: ask for that."""
+    spark._jvm.System.gc()
 
 
 def fresh_name(df: DataFrame, name: str) -> str:

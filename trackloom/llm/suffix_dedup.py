@@ -6,10 +6,12 @@ equal strings always meet; neighbouring strings with one minimizer travel as one
 document are dropped first. In a shard, distinct segments are joined to texts of bounded size; for each, the
 Burrows-Wheeler transform's intervals are extended backwards breadth first, which yields the common prefixes of
 neighbouring suffixes by increasing length, and stops at ``LENGTH``: what is still together then is one string. A
-string's smallest document goes back to the blocks, which cut their texts.
+string's smallest document goes back to the blocks, where it is smaller than the block's own; they cut their texts,
+which are never shuffled.
 
-A minimizer that ``HOT`` documents share is dealt out string by string, so a passage of a third of all documents is
-no large group; equal segments travel once for each block.
+Equal segments travel once for each block. A minimizer that more than ``HOT`` / 2 blocks share, or ``HOT_STRINGS`` strings
+of a block, is dealt out string by string, so neither a passage of a third of all documents nor a long text full of one
+header is a large group.
 
 Defined results: a null text is empty; a null doc_id is larger than all others; rows that repeat a doc_id don't remove
 each other's strings; a document shorter than ``LENGTH`` loses nothing; an empty table gives an empty result.
@@ -26,22 +28,25 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import _parse_datatype_string
 
-from .blocks import answers, bucket_count, corpus_totals, cut_blocks, grow, mix, pack_rows, shrink, text_bytes, unpack_rows, with_answers
-from .common import materialise
+from .blocks import answers, bucket_count, corpus_totals, cut_blocks, grow, mix, shrink, text_bytes, with_answers
+from .common import discard, materialise
 
 LENGTH = 50
 KMER = 16
-#: Documents (counted once a block and text) from which a minimizer's strings are dealt one by one.
-HOT = 255
+#: From this sum (one or two for each block that has it, for one or more documents) a minimizer's strings are dealt one by
+#: one, and from so many strings of one block.
+HOT = 8_192
+HOT_STRINGS = 8_192
+#: Shards of segments for each bucket of minimizers: a bucket's are too many for one task's memory.
+SHARDS_PER_BUCKET = 2
 #: Strings in a segment at most, and symbols in a text whose BWT is built.
 SEGMENT_STRINGS = 64
 TEXT_SYMBOLS = 300_000
 _FAR = np.iinfo(np.int64).max
 _CHUNK = 1_000_000
-_SENT = "block long, shard int, keys binary, least binary, sizes binary, data binary, items binary"
+_SENT = "block long, shard long, keys binary, least binary, sizes binary, data binary, items binary"
+_FOUND = "block long, shard long, codes binary, ids binary, items binary"
 _DIGESTS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -78,19 +83,35 @@ def _minimizers(data: np.ndarray, ends: np.ndarray, length: int) -> Iterator[tup
         done = last
 
 
+def _crowded(key: np.ndarray, start: np.ndarray, strings: np.ndarray, pieces: np.ndarray, length: int) -> np.ndarray:
+    """The minimizers that have ``HOT_STRINGS`` strings in distinct segments, told apart by three of their pieces."""
+    known, inverse = np.unique(key, return_inverse=True)
+    many = np.bincount(inverse, strings, len(known))[inverse] >= HOT_STRINGS
+    if not many.any():
+        return np.empty(0, np.uint64)
+    key, start, strings = key[many], start[many], strings[many]
+    last = start + strings + length - 1 - KMER
+    _, first = np.unique(mix(pieces[start] + mix(pieces[(start + last) // 2] + mix(pieces[last]))) ^ key, return_index=True)
+    known, inverse = np.unique(key[first], return_inverse=True)
+    return known[np.bincount(inverse, strings[first], len(known)) >= HOT_STRINGS]
+
+
 def block_units(length: int):
     def units(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        """A block's minimizers and how many of its documents have them."""
+        """A block's minimizers with 1 or, if more documents have them, 2; ``HOT`` for those with many strings."""
         keys, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-        for doc, _, _, key, _, _ in _minimizers(*text_bytes(rows), length):
+        for doc, start, strings, key, pieces, base in _minimizers(*text_bytes(rows), length):
+            crowded = _crowded(key, start - base, strings, pieces, length)
             order = np.lexsort((doc, key))
             key, doc = key[order], doc[order]
             first = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]) if len(key) else np.empty(0, bool)
             known, n = np.unique(key[first], return_counts=True)
+            n = np.where(np.isin(known, crowded), HOT, np.minimum(n, 2))
             keys.append(known)
             counts.append(n)
         known, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        return known, np.bincount(inverse, np.concatenate(counts), len(known)).astype(np.int64)
+        n = np.bincount(inverse, np.concatenate(counts), len(known)).astype(np.int64)
+        return known, np.where(n >= HOT, HOT, np.minimum(n, 2))
 
     return units
 
@@ -100,12 +121,12 @@ def _ids(rows: pa.Table) -> np.ndarray:
 
 
 def _segments(blocks: DataFrame, totals: DataFrame, buckets: int, length: int) -> DataFrame:
-    """For every shard a block's distinct segments with their smallest document; for the block itself (shard -1) its
-    rows and where each segment stands."""
+    """For every shard a block's distinct segments with their smallest document; for the block itself (a shard of its own,
+    below 0) where each segment stands."""
 
     def make(block: int, rows: pa.Table, found: pa.Table) -> pa.Table:
         data, ends = text_bytes(rows)
-        raw, ids, totals = data.tobytes(), _ids(rows), answers(found)
+        raw, ids, totals = data.tobytes(), _ids(rows), answers(found, HOT)
         known = block_units(length)(rows)[0]
         seen: dict[bytes, int] = {}
         keys, least, items = [], [], []
@@ -143,10 +164,10 @@ def _segments(blocks: DataFrame, totals: DataFrame, buckets: int, length: int) -
                 out[name].append(x)
         held = np.array(items, np.int64).reshape(-1, 4)
         held[:, 3] = place[held[:, 3]]
-        row = block, -1, None, None, None, pack_rows(rows), shrink(held.astype("<u4").reshape(-1))
+        row = block, -1 - block, None, None, None, None, shrink(held.astype("<u4").reshape(-1))
         for name, x in zip(out, row):
             out[name].append(x)
-        kinds = pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary()
+        kinds = pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary()
         return pa.table([pa.array(c, k) for c, k in zip(out.values(), kinds)], list(out))
 
     return with_answers(blocks, totals, make, _SENT)
@@ -217,8 +238,10 @@ def string_minima(texts: list[bytes], least: np.ndarray, length: int) -> list[np
 
 
 def _shard(length: int):
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+    def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         """One shard: all blocks' segments, those with one minimizer and several texts by BWT."""
+        if key[0] < 0:  # a block's places pass
+            return rows[["block", "shard", "items"]].assign(codes=None, ids=None)[["block", "shard", "codes", "ids", "items"]]
         keys, least, texts, blocks = [], [], [], []
         for i, row in enumerate(rows.itertuples()):
             keys.append(grow(row.keys, "<u8"))
@@ -254,18 +277,36 @@ def _shard(length: int):
         for at in order[~several].tolist():
             minima[at] = np.full(len(distinct[at]) - length + 1, low[at])
         ends = np.cumsum(blocks)
-        packed = [shrink(np.concatenate([minima[x] for x in known[e - n : e]])) for e, n in zip(ends, blocks)]
-        return pd.DataFrame({"block": rows["block"].to_numpy(), "shard": rows["shard"].to_numpy(), "minima": packed})
+        codes, ids = [], []
+        for e, n in zip(ends, blocks):
+            own = known[e - n : e]
+            found = np.concatenate([minima[x] for x in own])
+            elsewhere = found < np.repeat(least[e - n : e], [len(minima[x]) for x in own])
+            code = np.zeros(len(found), "<u4")
+            distinct_ids, code[elsewhere] = np.unique(found[elsewhere], return_inverse=True)
+            code[elsewhere] += 1
+            codes.append(shrink(code))
+            ids.append(shrink(distinct_ids))
+        return pd.DataFrame({"block": rows["block"].to_numpy(), "shard": rows["shard"].to_numpy(), "codes": codes, "ids": ids, "items": None})
 
     return solve
 
 
-def _covered(rows: pa.Table, items: np.ndarray, minima: np.ndarray, data_size: int, length: int) -> np.ndarray:
-    """Which bytes of a block go."""
+def _covered(rows: pa.Table, items: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]], data_size: int, length: int) -> np.ndarray:
+    """Which bytes of a block go. ``found``: (0, or one more than the place among the ids) of each string, and the ids
+    of documents of other blocks that have strings before all of this one's documents do."""
     ids = _ids(rows)
     edges = np.zeros(data_size + 1, np.int32)
-    strings = np.zeros(items[:, 3].max() + 1 if len(items) else 0, np.int64)
+    segments = items[:, 3].max() + 1 if len(items) else 0
+    strings, least = np.zeros(segments, np.int64), np.full(segments, _FAR)
     strings[items[:, 3]] = items[:, 2]
+    np.minimum.at(least, items[:, 3], ids[items[:, 0]])
+    minima = np.repeat(least, strings)
+    done = 0
+    for code, other in found:
+        elsewhere = np.flatnonzero(code)
+        minima[done + elsewhere] = other[code[elsewhere].astype(np.int64) - 1]
+        done += len(code)
     offset = np.cumsum(strings) - strings
     for k in range(0, len(items), 100_000):
         doc, start, n, at = items[k : k + 100_000].T
@@ -281,23 +322,19 @@ def _cut(docs: DataFrame, make, schema: str, length: int) -> DataFrame:
     """``make(rows, bytes, ends, which bytes go)`` for every block of ``docs``."""
     blocks = cut_blocks(docs)
     buckets = bucket_count(blocks)
-    totals = corpus_totals(blocks, block_units(length), buckets, "minimizers")
-    sent = materialise(_segments(blocks, totals, buckets, length), "segments")
-    solved = sent.filter("shard >= 0").select("block", "shard", "keys", "least", "sizes", "data").groupBy("shard").applyInPandas(_shard(length), "block long, shard int, minima binary")
-    kinds = to_arrow_schema(_parse_datatype_string(schema))
-
-    def joined(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return kinds.empty_table()
-        rows = unpack_rows(left.column("data")[0].as_py())
-        items = grow(left.column("items")[0].as_py(), "<u4").astype(np.int64).reshape(-1, 4)
-        by = sorted(zip(right.column("shard").to_pylist(), right.column("minima").to_pylist()))
-        minima = np.concatenate([np.empty(0, np.int64), *(grow(m, "<i8") for _, m in by)])
+    totals = materialise(corpus_totals(blocks, block_units(length), buckets, HOT), "totals")
+    sent = _segments(blocks, totals, buckets * SHARDS_PER_BUCKET, length)
+    solved = materialise(sent.groupBy("shard").applyInPandas(_shard(length), _FOUND), "solved")
+    discard(totals)
+
+    def joined(_block: int, rows: pa.Table, right: pa.Table) -> pa.Table:
+        own, *others = right.sort_by("shard").to_pylist()
+        items = grow(own["items"], "<u4").astype(np.int64).reshape(-1, 4)
         data, ends = text_bytes(rows)
-        return make(rows, data, ends, _covered(rows, items, minima, len(data), length))
+        found = [(grow(r["codes"], "<u4"), grow(r["ids"], "<i8")) for r in others]
+        return make(rows, data, ends, _covered(rows, items, found, len(data), length))
 
-    own = sent.filter("shard = -1").select("block", "data", "items")
-    return own.groupBy("block").cogroup(solved.groupBy("block")).applyInArrow(joined, schema)
+    return with_answers(blocks, solved, joined, schema)
 
 
 def _digest_rows(rows: pa.Table, data: np.ndarray, ends: np.ndarray, gone: np.ndarray) -> pa.Table:
@@ -314,13 +351,20 @@ def removal_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return _cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _digest_rows, _DIGESTS, length)
 
 
+def _whole_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """``gone``, and with each byte the rest of its character."""
+    first = (data & 0xC0) != 0x80
+    return np.logical_or.reduceat(gone, np.flatnonzero(first))[np.cumsum(first) - 1] if len(data) else gone
+
+
 def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The rows of ``docs``, all columns, with what is left of each text. A character of which only some bytes go is
     left out whole; documents of which nothing is left go, and a null or empty text stays as it is."""
-    names, schema = docs.columns, docs.schema.simpleString()[len("struct<") : -1]
+    names, schema = docs.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def make(rows: pa.Table, data: np.ndarray, ends: np.ndarray, gone: np.ndarray) -> pa.Table:
-        texts = [x if a == b else data[a:b][~gone[a:b]].tobytes().decode("utf-8", "ignore") for x, a, b in zip(rows.column("text").to_pylist(), ends[:-1], ends[1:])]
+        kept = ~_whole_characters(data, gone)
+        texts = [x if a == b else data[a:b][kept[a:b]].tobytes().decode() for x, a, b in zip(rows.column("text").to_pylist(), ends[:-1], ends[1:])]
         left = [bool(t) or a == b for t, a, b in zip(texts, ends[:-1], ends[1:])]
         at = rows.schema.get_field_index("text")
         return rows.set_column(at, "text", pa.array(texts, pa.string())).select(names).filter(pa.array(left, pa.bool_()))
