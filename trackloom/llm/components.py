@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 MOST_STEPS = 60
+SALTS = 8
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -21,7 +22,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         links = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = links.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    joined = links.join(least, "a")
+    # A star's centre may have a large share of all links: its smallest neighbour goes out in copies.
+    copies = least.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    joined = links.withColumn("salt", F.pmod("b", F.lit(SALTS))).join(copies, ["a", "salt"])
     if large:
         out = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -35,7 +38,8 @@ def components(edges: DataFrame) -> DataFrame:
     state = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
     for _ in range(MOST_STEPS):
-        state = materialise(_star(_star(state, True), False), "edges")
+        last, state = state, materialise(_star(_star(state, True), False), "edges")
+        discard(last)
         # A forest of stars is a fixed point; these sums differ before that.
         now = tuple(state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
         if now == mark:

@@ -2,8 +2,8 @@
 
 A document's set is its distinct word shingles, as 64-bit hashes. Documents with equal sets are one class. The
 shingles have a global order: how many sets hold them, then their hash. A set's prefix in that order finds its
-candidates; the order of the hashes cuts every set into fragments, each fragment counts the partial overlaps of the
-candidate pairs apart from the others, and the sums per pair decide.
+candidates; the same order is cut into fragments of about equal weight, each fragment counts the partial overlaps of
+the candidate pairs apart from the others, and the sums per pair decide.
 
 Candidates come in rounds, so that a group of thousands of near copies isn't paired with itself: first every class
 is compared with the smallest class that shares a prefix shingle with it, then with others that it isn't connected to
@@ -13,7 +13,9 @@ before their overlaps are counted.
 
 Defined results: ASCII white space separates words and only A-Z are lower-cased; fewer words than ``SHINGLE`` are
 one shingle; a text without words, or null, has no shingle and links with nothing; rows that repeat a ``doc_id`` are
-one document per distinct text; an empty table gives an empty result; other columns are ignored.
+judged one by one, by their texts; a null ``doc_id`` is never the smallest, and a component of nulls alone has the id
+null; an empty table gives an empty result; other columns are ignored. Shingles count as equal when their 64-bit hashes
+are.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import answers, bucket_count, corpus_totals, cut_blocks, grow, mix, shrink, text_bytes, with_answers
-from .common import materialise
+from .common import discard, materialise, one_row_each, text_or_empty
 from .components import components
 
 SHINGLE = 5
@@ -38,6 +40,9 @@ PIVOT_ROUNDS = 2
 #: Fragments of the global order, and classes whose candidate pairs one group of a fragment holds, about.
 FRAGMENTS = 16
 CLASSES_PER_GROUP = 20_000
+#: Classes of one shingle that are paired in one group, and copies of a large component's name.
+PAIRED_AT_ONCE = 2_000
+SALTS = 16
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -109,7 +114,7 @@ def block_units(shingle: int):
 
 
 def _sets(blocks: DataFrame, totals: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, digest; for one document of each set that may have partners, the shingles of more than
+    """doc_id, mark, n_shingles, digest; for one document of each set that may have partners, the shingles of more than
     one set as well, with the number of sets."""
 
     def make(_block: int, rows: pa.Table, found: pa.Table) -> pa.Table:
@@ -128,10 +133,10 @@ def _sets(blocks: DataFrame, totals: DataFrame, shingle: int, percent: int) -> D
                     keep = hashes[held > 1], held[held > 1]
             shingles.append(shrink(keep[0]) if keep else None)
             shared.append(shrink(keep[1]) if keep else None)
-        columns = rows.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(shingles, pa.binary()), pa.array(shared, pa.binary())
-        return pa.table(list(columns), ["doc_id", "n_shingles", "digest", "shingles", "sets"])
+        columns = rows.column("doc_id"), rows.column("mark"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(shingles, pa.binary()), pa.array(shared, pa.binary())
+        return pa.table(list(columns), ["doc_id", "mark", "n_shingles", "digest", "shingles", "sets"])
 
-    return with_answers(blocks, totals, make, "doc_id long, n_shingles long, digest binary, shingles binary, sets binary")
+    return with_answers(blocks, totals, make, "doc_id long, mark binary, n_shingles long, digest binary, shingles binary, sets binary")
 
 
 def _band(n: np.ndarray | int, percent: int):
@@ -180,32 +185,57 @@ def _pivot_pairs(tokens: DataFrame, labels: DataFrame | None, turn: int, percent
 
 
 def _rest_pairs(tokens: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the pairs with a common prefix shingle that are not connected."""
+    """(a, b): the pairs with a common prefix shingle that are not connected. A frequent shingle's classes are dealt to
+    shares of about ``PAIRED_AT_ONCE``, each of which meets all of them in a group of its own."""
     held = materialise(tokens.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls")), "labelled")
-    mixed = held.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("token")
-    open_ = held.join(mixed, "token")
-    x, y = open_.alias("x"), open_.alias("y")
-    met = (F.col("x.token") == F.col("y.token")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.label") != F.col("y.label")) & _fitting("x.", "y.", percent)
+    shares = F.ceil(F.count("*") / PAIRED_AT_ONCE).cast("int")
+    mixed = held.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), shares.alias("shares")).filter("low <> high").select("token", "shares")
+    open_ = materialise(held.join(mixed, "token"), "open")
+    x = open_.withColumn("share", F.pmod(F.xxhash64("cls"), "shares").cast("int")).alias("x")
+    y = open_.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).alias("y")
+    met = (F.col("x.token") == F.col("y.token")) & (F.col("x.share") == F.col("y.share")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.label") != F.col("y.label")) & _fitting("x.", "y.", percent)
     return x.join(y, met).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
 
 
-def _linked(pairs: DataFrame, classes: DataFrame, groups: int, percent: int) -> DataFrame:
-    """The pairs that reach the threshold: partial overlaps by fragment, summed per pair. A pair belongs to the group
-    of its first class, and each class goes once to every group that asks for it."""
-    pairs = materialise(pairs.withColumn("part", F.pmod(F.xxhash64("a"), F.lit(groups)).cast("int")), "pairs")
-    asked = pairs.select("part", F.explode(F.array("a", "b")).alias("cls")).distinct()
+def _order(hashes: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Where shingles stand in the global order, in 65,536 steps: by the number of sets, then by hash."""
+    return held.astype(np.int64) << 8 | (hashes >> np.uint64(56)).astype(np.int64)
+
+
+def fragment_edges(classes: DataFrame) -> list[int]:
+    """Steps of the global order at which fragments of about equal weight begin, over the shingles of all classes."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            for shingles, sets in zip(*(c.to_pylist() for c in batch.columns)):
+                total += np.bincount(_order(grow(shingles, "<u8"), grow(sets, "u1")), minlength=1 << 16)
+        steps = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(steps), pa.array(total[steps])], ["step", "n"])
+
+    found = classes.select("shingles", "sets").mapInArrow(counted, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).orderBy("step").collect()  # 65,536 rows at most
+    weight = np.cumsum([r["n"] for r in found])
+    at = np.searchsorted(weight, np.arange(1, FRAGMENTS) * (weight[-1] if len(weight) else 0) / FRAGMENTS)
+    return sorted({found[i]["step"] for i in at if i < len(found)})
+
+
+def _linked(pairs: DataFrame, classes: DataFrame, edges: list[int], groups: int, percent: int) -> DataFrame:
+    """The pairs that reach the threshold: partial overlaps by fragment, summed per pair. Pairs are dealt to groups one
+    by one, so a class with many partners is no large group; each class goes once to every group that asks for it."""
+    pairs = materialise(pairs.withColumn("share", F.pmod(F.xxhash64("a", "b"), F.lit(groups)).cast("int")), "pairs")
+    asked = pairs.select("share", F.explode(F.array("a", "b")).alias("cls")).distinct()
 
     def fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for part, cls, shingles in zip(*(c.to_pylist() for c in batch.columns)):
+            for share, cls, shingles, sets in zip(*(c.to_pylist() for c in batch.columns)):
                 hashes = grow(shingles, "<u8")
-                cuts = np.searchsorted(hashes, (np.arange(1, FRAGMENTS, dtype=np.uint64) << np.uint64(60)))
-                rows += [(part, f, cls, x.tobytes()) for f, x in enumerate(np.split(hashes, cuts)) if len(x)]
+                own = np.searchsorted(edges, _order(hashes, grow(sets, "u1")), "right")
+                rows += [(share, int(f), cls, hashes[own == f].tobytes()) for f in np.unique(own)]  # each sorted by hash
             columns = list(zip(*rows)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["part", "fragment", "cls", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["share", "fragment", "cls", "data"])
 
-    cut = asked.join(classes.select("cls", "shingles"), "cls").select("part", "cls", "shingles").mapInArrow(fragments, "part int, fragment int, cls long, data binary")
+    cut = asked.join(classes.select("cls", "shingles", "sets"), "cls").select("share", "cls", "shingles", "sets").mapInArrow(fragments, "share int, fragment int, cls long, data binary")
 
     def overlaps(sets: pa.Table, wanted: pa.Table) -> pa.Table:
         held = {c: np.frombuffer(d, "<u8") for c, d in zip(sets.column("cls").to_pylist(), sets.column("data").to_pylist())}
@@ -218,26 +248,30 @@ def _linked(pairs: DataFrame, classes: DataFrame, groups: int, percent: int) ->
                 common[i] = (x[np.minimum(at, len(x) - 1)] == y).sum()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "common": common}).filter(pa.array(common > 0))
 
-    wanted = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
-    partial = cut.groupBy("part", "fragment").cogroup(wanted.groupBy("part", "fragment")).applyInArrow(overlaps, "a long, b long, common long")
+    wanted = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(len(edges)))))
+    partial = cut.groupBy("share", "fragment").cogroup(wanted.groupBy("share", "fragment")).applyInArrow(overlaps, "a long, b long, common long")
     sums = partial.groupBy("a", "b").agg(F.sum("common").alias("common"))
     sizes = classes.select("cls", "n")
     held = sums.join(sizes.select(F.col("cls").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("cls").alias("b"), F.col("n").alias("nb")), "b")
-    return materialise(held.filter(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b"), "links")
+    links = materialise(held.filter(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b"), "links")
+    discard(pairs)
+    return links
 
 
-def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id: the smallest doc_id that links reach."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _solve(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of ``docs`` (doc_id, text, mark): (every row's doc_id, mark, n_shingles and digest; each digest's component, its
+    number and its smallest doc_id)."""
     blocks = cut_blocks(docs)
-    totals = corpus_totals(blocks, block_units(shingle), bucket_count(blocks), "shingles")
+    totals = materialise(corpus_totals(blocks, block_units(shingle), bucket_count(blocks)), "totals")
     sets = materialise(_sets(blocks, totals, shingle, percent), "sets")
-    groups = sets.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("cls"), F.first("n_shingles").alias("n"))
+    discard(blocks, totals)
+    # Classes are numbered in the order of their smallest doc_id, as one doc_id may stand for several texts.
+    groups = sets.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"))
+    groups = materialise(groups.orderBy(F.asc_nulls_last("least"), "digest").withColumn("cls", F.monotonically_increasing_id()), "groups")
     held = sets.filter("shingles IS NOT NULL").groupBy("digest").agg(F.first(F.struct("shingles", "sets"), True).alias("s"))
-    groups = materialise(groups, "groups")
-    classes = materialise(groups.join(held, "digest").filter("cls IS NOT NULL").select("cls", "n", "s.shingles", "s.sets"), "classes")
+    classes = materialise(groups.join(held, "digest").select("cls", "n", "s.shingles", "s.sets"), "classes")
     tokens = materialise(_tokens(classes, percent), "tokens")
-    parts = max(1, -(-classes.count() // CLASSES_PER_GROUP))
+    edges, parts = fragment_edges(classes), max(1, -(-classes.count() // CLASSES_PER_GROUP))
 
     links, labels, done = None, None, None
     for turn in range(PIVOT_ROUNDS + 1):
@@ -246,14 +280,31 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "candidates")
         done = pairs if done is None else done.unionByName(pairs)
-        new = _linked(pairs, classes, parts, percent)
+        new = _linked(pairs, classes, edges, parts, percent)
         links = new if links is None else links.unionByName(new)
         labels = materialise(components(links).select(F.col("id").alias("cls"), F.col("component_id").alias("label")), "labels")
-    whole = groups.join(labels, "cls", "left").select("digest", F.coalesce("label", "cls").alias("component_id"))
-    return sets.select("doc_id", "n_shingles", "digest").join(whole, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    discard(classes, tokens)
+    # A large component's smallest id goes out in copies, so that its classes needn't meet in one task.
+    linked = groups.join(labels, "cls").withColumn("salt", F.pmod("cls", F.lit(SALTS)))
+    least = linked.groupBy("label").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    named = linked.join(least, ["label", "salt"]).select("digest", "label", "component_id")
+    alone = groups.join(labels, "cls", "left_anti").select("digest", F.col("cls").alias("label"), F.col("least").alias("component_id"))
+    return sets.select("doc_id", "mark", "n_shingles", "digest"), named.unionByName(alone)
+
+
+def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id: the smallest doc_id that links reach."""
+    sets, found = _solve(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("binary").alias("mark")), shingle, percent)
+    return sets.join(found.select("digest", "component_id"), "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs``, all columns, of the smallest doc_id of each component."""
-    found = jaccard_components(docs, shingle, percent).filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_kept_doc_id_")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("_kept_doc_id_")), "left_semi")
+    """One row of ``docs``, all columns, of each component: that with the smallest doc_id and, among texts of one id,
+    the smallest MD5. Texts without words all stay, rows that repeat id and text once."""
+    mark = F.unhex(F.md5(text_or_empty().cast("binary")))
+    sets, found = _solve(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", mark.alias("mark")), shingle, percent)
+    rows = sets.groupBy("doc_id", "mark", "digest").agg(F.count("*").alias("copies"))
+    joined = rows.filter("digest IS NOT NULL").join(found.select("digest", "label"), "digest")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "mark", "copies")).alias("r")
+    keys = joined.groupBy("label").agg(first).select("r.doc_id", "r.mark", "r.copies").unionByName(rows.filter("digest IS NULL").select("doc_id", "mark", "copies"))
+    return one_row_each(docs, mark, keys)
