@@ -1,10 +1,16 @@
 """A training corpus from raw documents: five stages, each on what the one before it kept.
 
 quality      documents whose perplexity is over their language's threshold go
-exact        of documents with equal text but for white space, one stays
-near         of documents that shingle similarity links, the one with the smallest doc_id stays
+exact        of documents with equal text but for white space, one row stays
+near         of documents that shingle similarity links, one row stays: that with the smallest doc_id
 repeats      byte strings that an earlier document has are cut out; documents of which nothing is left go
 pack         what is left, tokenised and packed into sequences
+
+Defined results: a null or empty text has no perplexity and stays, is equal to other empty texts (one row of all stays),
+is similar to nothing, loses nothing, and is packed as its end token; a null doc_id never wins over a known one and counts
+as the largest; of rows that repeat an id and a text one is left after the second stage, and rows that repeat an id
+with different texts are judged by their texts; ties go to the smallest doc_id; empty tables pass through all stages;
+other columns, whatever their names, stay with their rows until the last stage.
 """
 
 from __future__ import annotations
