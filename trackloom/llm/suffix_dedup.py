@@ -84,12 +84,8 @@ def _minimizers(data: np.ndarray, ends: np.ndarray, length: int) -> Iterator[tup
 
 
 def _crowded(key: np.ndarray, start: np.ndarray, strings: np.ndarray, pieces: np.ndarray, length: int) -> np.ndarray:
-    """The minimizers that have ``HOT_STRINGS`` strings in distinct segments, told apart by three of their pieces."""
-    known, inverse = np.unique(key, return_inverse=True)
-    many = np.bincount(inverse, strings, len(known))[inverse] >= HOT_STRINGS
-    if not many.any():
-        return np.empty(0, np.uint64)
-    key, start, strings = key[many], start[many], strings[many]
+    """Of some segments' minimizers those that have ``HOT_STRINGS`` strings in distinct segments, told apart by three of
+    their pieces."""
     last = start + strings + length - 1 - KMER
     _, first = np.unique(mix(pieces[start] + mix(pieces[(start + last) // 2] + mix(pieces[last]))) ^ key, return_index=True)
     known, inverse = np.unique(key[first], return_inverse=True)
@@ -101,13 +97,18 @@ def block_units(length: int):
         """A block's minimizers with 1 or, if more documents have them, 2; ``HOT`` for those with many strings."""
         keys, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
         for doc, start, strings, key, pieces, base in _minimizers(*text_bytes(rows), length):
-            crowded = _crowded(key, start - base, strings, pieces, length)
-            order = np.lexsort((doc, key))
-            key, doc = key[order], doc[order]
-            first = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]) if len(key) else np.empty(0, bool)
-            known, n = np.unique(key[first], return_counts=True)
-            n = np.where(np.isin(known, crowded), HOT, np.minimum(n, 2))
-            keys.append(known)
+            if not len(key):
+                continue
+            order = np.argsort(key, kind="stable")  # documents stay in order
+            own, at = key[order], doc[order]
+            starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            stops = np.append(starts[1:], len(own)) - 1
+            n = np.where(at[starts] == at[stops], 1, 2)
+            many = np.add.reduceat(strings[order], starts) >= HOT_STRINGS
+            if many.any():
+                some = np.isin(key, own[starts[many]])
+                n[np.isin(own[starts], _crowded(key[some], start[some] - base, strings[some], pieces, length))] = HOT
+            keys.append(own[starts])
             counts.append(n)
         known, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         n = np.bincount(inverse, np.concatenate(counts), len(known)).astype(np.int64)
@@ -174,23 +175,27 @@ def _segments(blocks: DataFrame, totals: DataFrame, buckets: int, length: int) -
 
 
 def suffix_order(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix array, ranks) of symbols under 512, by doubling from six packed ones."""
-    n, width = len(symbols), 6
+    """(suffix array, ranks) of symbols under 512, by doubling from seven packed ones; only what is still together is
+    sorted again. A rank is the first place of those that are together."""
+    n, width = len(symbols), 7
     padded = np.concatenate([symbols.astype(np.int64), np.zeros(width, np.int64)])
     key = np.zeros(n, np.int64)
     for k in range(width):
         key = key << 9 | padded[k : k + n]
-    while True:
-        order = np.argsort(key, kind="stable")
-        fresh = np.concatenate([[0], (np.diff(key[order]) != 0).astype(np.int64)])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(fresh)
-        if n == 0 or fresh.sum() == n - 1:
-            return order, rank
-        beyond = np.zeros(n, np.int64)
-        if width < n:
-            beyond[: n - width] = rank[width:] + 1
-        key, width = rank * (n + 1) + beyond, width * 2
+    order, rank, places, suffixes = np.empty(n, np.int64), np.empty(n, np.int64), np.arange(n), np.arange(n)
+    while len(places):
+        sort = np.argsort(key)
+        suffixes, key = suffixes[sort], key[sort]
+        order[places] = suffixes
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(starts, append=len(key))
+        rank[suffixes] = np.repeat(places[starts], sizes)
+        together = np.repeat(sizes > 1, sizes)
+        places, suffixes = places[together], suffixes[together]
+        ahead = suffixes + width
+        key = rank[suffixes] * (n + 1) + np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
+        width *= 2
+    return order, rank
 
 
 def expand_intervals(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -208,16 +213,17 @@ def expand_intervals(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.n
     # Where the transform maps back to, from 1; the empty suffix is before all others.
     after = np.concatenate([rank[1:] + 1, [0]])[order] if n else np.empty(0, np.int64)
     open_ = np.flatnonzero(~bound)
-    new = bound
+    low, high = after[open_ - 1].astype(np.int32), after[open_].astype(np.int32)
+    new, last, reach = bound.copy(), np.flatnonzero(bound), np.zeros(n + 1, np.int32)
     for _ in range(1, length):
         if not len(open_):
             break
-        reach = np.concatenate([[0], np.cumsum(new)])
-        hit = reach[after[open_]] > reach[after[open_ - 1]]
-        new = np.zeros(n, bool)
-        new[open_[hit]] = True
-        bound[open_[hit]] = True
-        open_ = open_[~hit]
+        np.cumsum(new, out=reach[1:])
+        hit = reach[high] > reach[low]
+        new[last] = False
+        last = open_[hit]
+        new[last] = bound[last] = True
+        open_, low, high = open_[~hit], low[~hit], high[~hit]
     return order, np.cumsum(bound) - 1
 
 
