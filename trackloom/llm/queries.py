@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, embedding_dedup, exact_dedup, jaccard, license_scan, packing, quality, suffix_dedup, token_counts, warc
+from . import byte_bpe, embedding_dedup, exact_dedup, jaccard, license_scan, packing, quality, quality_rules, suffix_dedup, token_counts, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,9 +52,13 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": warc.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE, "op10_embedding_dedup": embedding_dedup.ORACLE}
+    return {"op3_warc": warc.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE, "op10_embedding_dedup": embedding_dedup.ORACLE, "op12_quality_rules": quality_rules.ORACLE}
