@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, embedding_dedup, exact_dedup, jaccard, license_scan, packing, quality, quality_rules, suffix_dedup, token_counts, warc
+from . import byte_bpe, embedding_dedup, exact_dedup, jaccard, license_scan, packing, quality, quality_rules, resampling, suffix_dedup, token_counts, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,10 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -61,4 +65,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": warc.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE, "op10_embedding_dedup": embedding_dedup.ORACLE, "op12_quality_rules": quality_rules.ORACLE}
+    return {"op3_warc": warc.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE, "op10_embedding_dedup": embedding_dedup.ORACLE, "op11_resampling": resampling.ORACLE, "op12_quality_rules": quality_rules.ORACLE}
