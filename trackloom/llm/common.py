@@ -42,15 +42,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return _kept_at(spark.read.schema(schema).parquet(path), path)
 
 
-def materialise_by(df: DataFrame, name: str, key: str, deal: bool = False) -> DataFrame:
-    """As ``materialise``, bucketed by ``key``, so that grouping by it later moves only the other side of a join. With
+def materialise_by(df: DataFrame, name: str, *key: str, deal: bool = False) -> DataFrame:
+    """As ``materialise``, bucketed by ``key`` (one column or several), so that grouping by it later moves only the other side of a join. With
     ``deal`` the rows are shuffled by it before, else a task writes a file for each bucket that it has."""
     spark = df.sparkSession
     path = scratch(spark, name)
     table_name = f"scratch_{uuid.uuid4().hex}"
     buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), MOST_BUCKETS)
-    df = df.repartition(buckets, key) if deal else df
-    df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(table_name)
+    df = df.repartition(buckets, *key) if deal else df
+    df.write.format("parquet").bucketBy(buckets, *key).option("path", path).saveAsTable(table_name)
     found = spark.table(table_name)
     found.schema  # resolved before the name goes; the files stay
     spark.sql(f"DROP TABLE {table_name}")
@@ -95,6 +95,11 @@ def one_row_each(docs: DataFrame, mark: Column, keys: DataFrame) -> DataFrame:
     return single.unionByName(several.select("row.*"))
 
 
+def broadcast_if(df: DataFrame, rows: int, row_bytes: int, most_bytes: int = 32_000_000) -> DataFrame:
+    """``df`` marked for a broadcast if its counted ``rows`` are small enough, else as it is, for a shuffled join."""
+    return F.broadcast(df) if rows * row_bytes <= most_bytes else df
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, embedding_dedup, exact_dedup, jaccard, license_scan, packing, quality, quality_rules, resampling, suffix_dedup, token_counts, warc
+from . import byte_bpe, embedding_dedup, exact_dedup, jaccard, lexical, license_scan, packing, quality, quality_rules, resampling, suffix_dedup, token_counts, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,9 +60,13 @@ def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": warc.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE, "op10_embedding_dedup": embedding_dedup.ORACLE, "op11_resampling": resampling.ORACLE, "op12_quality_rules": quality_rules.ORACLE}
+    return {"op3_warc": warc.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE, "op10_embedding_dedup": embedding_dedup.ORACLE, "op11_resampling": resampling.ORACLE, "op12_quality_rules": quality_rules.ORACLE, "op13_lexical_search": lexical.ORACLE}
