@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..model import PITCH_LENGTH, PITCH_WIDTH, coerce, drop_off_pitch, validate
 from ..operators.sampling import match_meta, period_ranges
 from . import csv_pair, epts, events, jsonl
+from .memo import Memo
 
 _SOURCES: dict[str, Callable] = {"events": events.tracking, "csv_pair": csv_pair.tracking, "epts": epts.tracking, "jsonl": jsonl.tracking}
 
@@ -24,6 +25,8 @@ def source(name: str) -> Callable:
 
 @dataclass(frozen=True)
 class MatchMeta:
+    """Facts about one match. The fields' names, which written match objects have."""
+
     match_id: str
     provider: str
     frame_rate: float
@@ -36,13 +39,29 @@ class MatchMeta:
     notes: str = ""
 
 
+#: Arguments that are about a match and not for its reader.
+_ABOUT = ("home_team", "away_team", "notes")
+
+
 @dataclass(frozen=True)
 class Provider:
-    """Matches of one kind of source: ``matches`` has the source's own arguments by match id."""
+    """Matches of one kind of source: ``matches`` has the source's own arguments by match id. With a ``memo`` what has been
+    read is kept as long as the memo holds it."""
 
     spark: SparkSession
     name: str
     matches: dict[str, dict] = field(default_factory=dict)
+    memo: Memo | None = None
+
+    @classmethod
+    def of_catalogue(cls, spark: SparkSession, name: str, found: dict, memo: Memo | None = None) -> Provider:
+        """From a catalogue's entry: arguments by match id, or ``index``, a file that lists the ids, beside arguments in
+        which ``{id}`` stands for the id."""
+        if not isinstance(found.get("index"), str):
+            return cls(spark, name, found, memo)
+        pattern = {k: v for k, v in found.items() if k != "index"}
+        own = lambda i: {k: v.replace("{id}", i) if isinstance(v, str) else v for k, v in pattern.items()}
+        return cls(spark, name, {i: own(i) for i in jsonl.match_ids(spark, found["index"])}, memo)
 
     def list_matches(self) -> list[str]:
         return list(self.matches)
@@ -52,13 +71,18 @@ class Provider:
             raise KeyError(f"no match {match_id!r} of {self.name}; there are {', '.join(self.matches)}")
         return self.matches[match_id]
 
-    def frames(self, match_id: str) -> DataFrame:
-        """The match's frame as it is read, in the frame's types and on the pitch."""
-        own = {k: v for k, v in self._arguments(match_id).items() if k not in ("home_team", "away_team", "notes")}
+    def _read(self, match_id: str) -> DataFrame:
+        own = {k: v for k, v in self._arguments(match_id).items() if k not in _ABOUT}
         if self.name == "events":
             return drop_off_pitch(coerce(events.tracking(self.spark, **own).withColumn("match_id", F.lit(match_id))))
         return drop_off_pitch(coerce(source(self.name)(self.spark, **own, match_id=match_id)))
 
+    def frames(self, match_id: str) -> DataFrame:
+        """The match's frame as it is read, in the frame's types and on the pitch."""
+        if self.memo is None:
+            return self._read(match_id)
+        return self.memo.get(self.spark, self.name, {"match_id": match_id, **self._arguments(match_id)}, lambda: self._read(match_id))
+
     def load(self, match_id: str) -> DataFrame:
         return validate(self.frames(match_id))
 
@@ -66,6 +90,7 @@ class Provider:
         """Without the players' columns: from the description, or from frame numbers and times alone."""
         own = self._arguments(match_id)
         teams, length, width = (own.get("home_team", "home"), own.get("away_team", "away")), own.get("length", PITCH_LENGTH), own.get("width", PITCH_WIDTH)
+        rate, periods = None, {}
         if self.name == "epts":
             about = epts.describe(self.spark, own["xml"])
             rate, teams, length, width = about.frame_rate, about.teams, about.length, about.width
@@ -73,8 +98,12 @@ class Provider:
         elif self.name == "csv_pair":
             rows = csv_pair.frame_meta(self.spark, own["home"]).collect()  # two halves
             rate, periods = rows[0]["frame_rate"], {r["period"]: (r["start_s"], r["end_s"]) for r in sorted(rows)}
-        else:
+        elif self.name == "jsonl" and own.get("match"):
+            found = jsonl.read_document(self.spark, own["match"])
+            rate, teams, length, width = found.frame_rate, found.teams, found.length, found.width
+            periods = {k: (0.0, (b - a) / (rate or jsonl.RATE)) for k, a, b in found.periods if k in (1, 2)}
+        if rate is None or not periods:
             frames = self.frames(match_id).select("match_id", "period", "frame_id", "timestamp")
-            rate = match_meta(frames).first()["frame_rate"]
-            periods = {r["period"]: (r["start_s"], r["end_s"]) for r in period_ranges(frames).collect()}  # two halves
+            rate = rate or match_meta(frames).first()["frame_rate"]
+            periods = periods or {r["period"]: (r["start_s"], r["end_s"]) for r in period_ranges(frames).collect()}  # two halves
         return MatchMeta(match_id, self.name, rate, length, width, *teams, periods, own.get("notes", ""))

@@ -27,6 +27,16 @@ def infer_keepers(df: DataFrame) -> DataFrame:
     return df.drop("is_gk").join(keepers, [*key, "track_id"], "left").withColumn("is_gk", F.coalesce("keeps", F.lit(False))).drop("keeps")
 
 
+def static_ends(df: DataFrame) -> DataFrame:
+    """``df`` with both halves turned so that the home side attacks +x: a half is turned where that side's mean place
+    (its keeper's, if it has one) isn't to -x of the others'."""
+    home, away = F.col("team") == "home", F.col("team") == "away"
+    side = lambda whose: F.coalesce(F.avg(F.when(whose & F.col("is_gk"), F.col("x_pitch"))), F.avg(F.when(whose, F.col("x_pitch"))), F.lit(0.0))
+    turned = df.groupBy(*HALF).agg(F.when(side(home) > side(away), -1.0).otherwise(1.0).alias("turned"))
+    both = {c: F.col(c) * F.col("turned") + F.lit(0.0) for c in ("x_pitch", "y_pitch")}
+    return df.join(turned, HALF).withColumns(both).drop("turned")
+
+
 def wide_to_long(wide: DataFrame, players: list[str], keys: list[str]) -> DataFrame:
     """keys, track_id, x, y: columns ``<player>_x`` and ``<player>_y`` become rows; rows without a place go."""
     rows = F.array(*(F.struct(F.lit(p).alias("track_id"), F.col(f"`{p}_x`").cast("double").alias("x"), F.col(f"`{p}_y`").cast("double").alias("y")) for p in players))
