@@ -4,10 +4,11 @@ Index: texts are cut into segments of bounded size, and a segment's postings are
 ``CHUNK`` by falling impact, dealt out by term and segment. So a term that every document has is as many rows as there are
 segments, and no list stands in one task. A posting is a row number within its segment.
 
-Search, for all items at once: (1) the ``k`` heads of every list give partial scores, whose k-th highest is a lower bound;
-(2) an entry that reaches the bound divided by the item's number of lists is fetched from every list (chunks below it aren't
-opened), partial scores give a better bound, and what cannot reach it even with the most that its unseen lists allow is
-dropped; (3) exact scores of what is left are looked up in the lists. All whole numbers, so the result is exact, ties too.
+Search, for all items at once: (1) the ``k`` heads of every list give partial scores, the exact scores of the best of
+these documents are looked up, and the k-th highest is a lower bound; (2) every list of an item sends its entries over one
+threshold, chosen so that a document which no list sends stays below the bound (chunks under it aren't opened); partial
+scores may raise the bound, and what cannot reach it even with the most that its unseen lists allow is dropped; (3) exact
+scores of what is left are looked up in the lists. All whole numbers, so the result is exact, ties too.
 
 Defined results: a null or empty text has no terms, isn't counted as a document and never ranks; rows that repeat a doc_id
 are documents of their own and may both rank, and a null doc_id loses ties; an item without terms, or whose terms no
@@ -18,7 +19,7 @@ empty tables give an empty result; other columns are ignored.
 from __future__ import annotations
 
 import string
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -32,6 +33,10 @@ from .common import broadcast_if, materialise, materialise_by
 from .words import IN_WORD, LOWER, slices, spans
 
 TOP = 10
+#: Documents among the heads, times ``TOP``, whose exact scores are looked up for the first bound.
+LEADERS = 5
+#: By how much the threshold is lowered: lists send more, and fewer documents are left whose exact score is looked up.
+LOWERED = 4
 #: Bytes of text of a segment, and postings of a chunk.
 SEGMENT_BYTES, CHUNK = 16_000_000, 1024
 #: Into how many groups a list's segments, or an item's documents, are split before their best are compared.
@@ -157,42 +162,109 @@ def _kth(partials: DataFrame, k: int, name: str) -> DataFrame:
     return best.filter(F.col("n") == k).select("item", F.col("partial").alias(name))
 
 
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each chunk (segment, rows, impacts) has of the documents that it is asked for (asks)."""
+    names = ["item", "segment", "row", "part"]
+    for batch in batches:
+        for start in range(0, batch.num_rows, _JOINED):
+            some = batch.slice(start, _JOINED)
+            rows, impacts, asks = (some.column(c) for c in ("rows", "impacts", "asks"))
+            chunk = np.repeat(np.arange(some.num_rows), rows.value_lengths().to_numpy()) << 32
+            asked_of, ask = np.repeat(np.arange(some.num_rows), asks.value_lengths().to_numpy()), asks.flatten()
+            item, row, qw = (ask.field(c).to_numpy() for c in ("item", "row", "qw"))
+            held, impacts = chunk + rows.flatten().to_numpy(), impacts.flatten().to_numpy()
+            order = np.argsort(held, kind="stable")
+            wanted = (asked_of << 32) + row
+            at = order[np.minimum(np.searchsorted(held, wanted, sorter=order), len(order) - 1)]
+            found = np.flatnonzero(held[at] == wanted)
+            segment = some.column("segment").to_numpy()[asked_of[found]]
+            columns = [item[found], segment, row[found], qw[found] * impacts[at[found]].astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+
+#: Joined chunks whose asks are answered together.
+_JOINED = 256
+
+
+def _exact(index: Index, lists: DataFrame, candidates: DataFrame, n_asks: int) -> DataFrame:
+    """(item, segment, row, score) of ``candidates`` (item, segment, row): a list is asked for all of them at once."""
+    wanted = candidates.join(lists.select("item", "term", "qw"), "item").groupBy("term", "segment").agg(F.collect_list(F.struct("item", "row", "qw")).alias("asks"))
+    found = index.postings.select("term", "segment", "rows", "impacts").join(broadcast_if(wanted, n_asks, 40), ["term", "segment"])
+    answers = found.select("segment", "rows", "impacts", "asks").mapInArrow(_answers, "item long, segment long, row int, part long")
+    return answers.groupBy("item", "segment", "row").agg(F.sum("part").alias("score"))
+
+
+def _partial_scores(asks: pa.Table) -> Callable[[pa.Table], pa.Table]:
+    """What a segment makes of the entries that lists have sent it: the documents that can still reach their item's bound,
+    with their score so far and the most that it can become. ``asks`` is of one block of items."""
+    of_item: dict[int, list] = {}
+    for r in asks.sort_by("item").to_pylist():
+        of_item.setdefault(r["item"], []).append((r["term"], r["qw"], r["least"], r["unseen"], r["bound"]))
+    kinds = pa.schema([("item", pa.int64()), ("segment", pa.int64()), ("row", pa.int32()), ("partial", pa.int64()), ("most", pa.int64())])
+
+    def partial_scores(sent: pa.Table) -> pa.Table:
+        sent = sent.sort_by([("term", "ascending"), ("chunk", "ascending")])
+        terms, segment = sent.column("term").to_pylist(), sent.column("segment")[0].as_py()
+        rows, impacts = (sent.column(c).combine_chunks() for c in ("rows", "impacts"))
+        ends = rows.offsets.to_numpy()
+        rows, impacts = rows.values.to_numpy(), impacts.values.to_numpy().astype(np.int64)
+        starts = [k for k in range(len(terms)) if not k or terms[k] != terms[k - 1]]
+        held = {terms[a]: (rows[ends[a] : ends[b]], impacts[ends[a] : ends[b]]) for a, b in zip(starts, [*starts[1:], len(terms)])}
+        n, out = int(rows.max()) + 1, []
+        for item, own in of_item.items():
+            partial, seen, allowed, bound = np.zeros(n, np.int64), np.zeros(n, np.int64), sum(x[3] for x in own), own[0][4]
+            for term, qw, least, unseen, _ in own:
+                if term in held:
+                    at, impact = held[term]
+                    cut = len(impact) - np.searchsorted(impact[::-1], least)
+                    partial[at[:cut]] += qw * impact[:cut]
+                    seen[at[:cut]] += unseen
+            most = partial + allowed - seen
+            at = np.flatnonzero((partial > 0) & (most >= bound))
+            out.append(pa.table([pa.array(np.full(len(at), item)), pa.array(np.full(len(at), segment)), pa.array(at.astype(np.int32)), pa.array(partial[at]), pa.array(most[at])], schema=kinds))
+        return pa.concat_tables(out)
+
+    return partial_scores
+
+
 def search(index: Index, asked: DataFrame, k: int = TOP) -> DataFrame:
     """(item_id, rank, doc_id, score): the ``k`` best documents of each item of ``item_terms``."""
     postings = index.postings
     known = postings.groupBy("term").agg(F.sum("n_postings").alias("df"), F.max("max_impact").alias("top"))
     weight = F.floor(1000 * F.log(F.lit(float(2 * index.n_docs + 2)) / (2 * F.col("df") + 1).cast("double")))
     weighed = asked.join(known, "term").withColumn("qw", F.col("q") * weight).filter("qw > 0")
-    lists = materialise(weighed.withColumn("m", F.count("*").over(Window.partitionBy("item"))).select("item", "item_id", "term", "qw", "top", "m"), "lists")
-    n_lists = lists.count()
+    lists = materialise(weighed.select("item", "item_id", "term", "qw", (F.col("qw") * F.col("top")).alias("most")), "lists")
+    n_lists, n_items = lists.count(), lists.select("item").distinct().count()
 
-    # 1: list heads, and from them a bound that each item's k-th best document reaches.
+    # 1: list heads; the exact scores of the best documents among them give a bound that each item's k-th best reaches.
     entry = F.inline(F.arrays_zip(F.slice("rows", 1, k).alias("row"), F.slice("impacts", 1, k).alias("impact")))
     heads = _best(postings.filter("chunk = 0").select("term", "segment", entry), "term", F.col("segment"), k, F.desc("impact"))
     asks = broadcast_if(lists.select("item", "term", "qw"), n_lists, 100)
     partials = heads.join(asks, "term").groupBy("item", "segment", "row").agg(F.sum(F.col("qw") * F.col("impact")).alias("partial"))
-    bounds = lists.join(_kth(partials, k, "bound"), "item", "left").fillna(0, ["bound"])
-    # What a list allows a document that isn't fetched from it: less than bound / m, and not more than its head.
-    unseen = F.greatest(F.least(F.col("qw") * F.col("top"), F.expr("(bound - 1) div m")), F.lit(0))
-    due = materialise(bounds.withColumn("least", F.expr("(bound + m * qw - 1) div (m * qw)")).withColumn("unseen", unseen), "thresholds")
-
-    # 2: one threshold for all lists of an item; chunks of which nothing reaches it stay closed.
+    leaders = materialise(_best(partials, "item", F.struct("segment", "row"), LEADERS * k, F.desc("partial")).select("item", "segment", "row"), "leaders")
+    led = _exact(index, lists, leaders, LEADERS * k * n_lists).withColumnRenamed("score", "partial")
+    bounds = lists.join(_kth(led, k, "bound"), "item", "left").fillna(0, ["bound"])
+    # The largest threshold for which a document that no list sends, with at most the threshold or the list's head in each,
+    # stays below the bound: some lists give all of their heads, the others share what is left.
+    by_most = Window.partitionBy("item").orderBy("most", "term")
+    smaller = F.coalesce(F.sum("most").over(by_most.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shared = bounds.withColumns({"smaller": smaller, "others": F.count("*").over(Window.partitionBy("item")) - F.row_number().over(by_most) + 1})
+    threshold = F.greatest(F.max(F.expr("(bound - 1 - smaller) div others")).over(Window.partitionBy("item")), F.lit(0))
+    due = shared.withColumn("threshold", F.floor(threshold / LOWERED)).withColumns({"least": F.expr("threshold div qw + 1"), "unseen": F.least("most", "threshold")})
+    due = materialise(due.select("item", "term", "qw", "most", "least", "unseen"), "thresholds")
+
+    # 2: one threshold for all lists of an item; chunks of which nothing reaches it stay closed. What is sent goes to the
+    # documents' segments, once however many items ask for it.
     least = due.groupBy("term").agg(F.min("least").alias("least_of_all"))
     opened = postings.join(broadcast_if(least, n_lists, 60), "term").filter(F.col("max_impact") >= F.col("least_of_all"))
-    entries = opened.select("term", "segment", "least_of_all", F.inline(F.arrays_zip(F.col("rows").alias("row"), F.col("impacts").alias("impact")))).filter(F.col("impact") >= F.col("least_of_all"))
-    fetched = entries.join(broadcast_if(due.select("item", "term", "qw", "least", "unseen"), n_lists, 120), "term").filter(F.col("impact") >= F.col("least"))
-    seen = materialise(fetched.groupBy("item", "segment", "row").agg(F.sum(F.col("qw") * F.col("impact")).alias("partial"), F.sum("unseen").alias("seen")), "partial-scores")
-    rest = due.groupBy("item").agg(F.sum("unseen").alias("allowed"))
-    open_ = seen.join(rest, "item").join(_kth(seen, k, "better"), "item", "left")
-    candidates = materialise(open_.filter(F.col("partial") + F.col("allowed") - F.col("seen") >= F.coalesce("better", F.lit(0))).select("item", "segment", "row"), "candidates")
-    n_candidates = candidates.count()
-
-    # 3: exact scores. A list is asked for all its candidates at once.
-    wanted = candidates.join(lists.select("item", "term", "qw"), "item").groupBy("term", "segment").agg(F.collect_list(F.struct("item", "row", "qw")).alias("asks"))
-    per_item = n_lists // max(1, lists.select("item").distinct().count()) + 1
-    found = postings.join(broadcast_if(wanted, n_candidates * per_item, 40), ["term", "segment"])
-    looked_up = F.filter(F.transform("asks", lambda a: F.struct(a["item"].alias("item"), a["row"].alias("row"), (a["qw"] * F.get("impacts", F.array_position("rows", a["row"]).cast("int") - 1)).alias("part"))), lambda x: x["part"].isNotNull())
-    scores = found.select("segment", F.inline(looked_up)).groupBy("item", "segment", "row").agg(F.sum("part").alias("score"))
+    asks = due.join(bounds.select("item", "bound").distinct(), "item").select("item", "term", "qw", "least", "unseen", "bound").toArrow()
+    sent = opened.select("segment", "term", "chunk", "rows", "impacts")
+    open_ = materialise(sent.groupBy("segment").applyInArrow(_partial_scores(asks), "item long, segment long, row int, partial long, most long"), "partial-scores")
+    better = open_.join(_kth(open_, k, "better"), "item", "left")
+    candidates = materialise(better.filter(F.col("most") >= F.coalesce("better", F.lit(0))).select("item", "segment", "row"), "candidates")
+
+    # 3: exact scores of what is left.
+    scores = _exact(index, lists, candidates, candidates.count() * (n_lists // max(1, n_items) + 1)).filter("score > 0")
     named = scores.join(index.segments.select("segment", "ids"), "segment").select("item", "segment", "row", "score", F.get("ids", F.col("row")).alias("doc_id"))
     best = _best(named, "item", F.struct("segment", "row"), k, F.desc("score"), F.asc_nulls_last("doc_id"), F.col("segment"), F.col("row"))
     return best.join(lists.select("item", "item_id").distinct(), "item").select("item_id", F.col("n").alias("rank"), "doc_id", "score")
