@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import buckets_for, materialise_by
 
@@ -174,12 +175,12 @@ def answers(totals: pa.Table, most: int = 255) -> np.ndarray:
     return np.concatenate([np.empty(0, _kind(most)), *(grow(t, _kind(most)) for _, t in by)])
 
 
-def with_answers(blocks: DataFrame, found: DataFrame, make: Callable[[int, pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+def with_answers(blocks: DataFrame, found: DataFrame, make: Callable[[int, pa.Table, pa.Table], pa.Table], schema: str | StructType) -> DataFrame:
     """``make(block, rows, what was found for it)`` for every block. ``found`` has a column ``block``."""
-    from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    kinds = to_arrow_schema(_parse_datatype_string(schema))
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    kinds = to_arrow_schema(schema)
 
     def joined(left: pa.Table, right: pa.Table) -> pa.Table:
         made = []

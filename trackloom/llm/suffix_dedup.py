@@ -28,6 +28,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .blocks import answers, bucket_count, corpus_totals, cut_blocks, grow, mix, shrink, text_bytes, with_answers
 from .common import discard, materialise
@@ -324,7 +325,7 @@ def _covered(rows: pa.Table, items: np.ndarray, found: list[tuple[np.ndarray, np
     return np.cumsum(edges[:-1]) > 0
 
 
-def _cut(docs: DataFrame, make, schema: str, length: int) -> DataFrame:
+def _cut(docs: DataFrame, make, schema: str | StructType, length: int) -> DataFrame:
     """``make(rows, bytes, ends, which bytes go)`` for every block of ``docs``."""
     blocks = cut_blocks(docs)
     buckets = bucket_count(blocks)
@@ -366,7 +367,7 @@ def _whole_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
 def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The rows of ``docs``, all columns, with what is left of each text. A character of which only some bytes go is
     left out whole; documents of which nothing is left go, and a null or empty text stays as it is."""
-    names, schema = docs.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    names, schema = docs.columns, docs.schema
 
     def make(rows: pa.Table, data: np.ndarray, ends: np.ndarray, gone: np.ndarray) -> pa.Table:
         kept = ~_whole_characters(data, gone)
