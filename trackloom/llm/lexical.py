@@ -102,7 +102,7 @@ def impacts_of(tfs: np.ndarray, lengths: np.ndarray, n_docs: int, n_terms: int)
     return (1_000_000_000 * tfs) // (1000 * tfs + 8 * m)
 
 
-def impact_chunks(lists: pa.Table, lengths: np.ndarray, n_docs: int, n_terms: int) -> pa.Table:
+def impact_chunks(lists: pa.Table, lengths: np.ndarray, n_docs: int, n_terms: int, size: int = CHUNK) -> pa.Table:
     """(chunk, n_postings, max_impact, rows, impacts, and the list's number) of a segment, each list by falling impact."""
     rows, tfs = (lists.column(c).combine_chunks() for c in ("rows", "tfs"))
     rows, ends = rows.values.to_numpy(), rows.offsets.to_numpy().astype(np.int64)
@@ -110,10 +110,10 @@ def impact_chunks(lists: pa.Table, lengths: np.ndarray, n_docs: int, n_terms: in
     impacts = impacts_of(tfs.values.to_numpy().astype(np.int64), lengths[rows], n_docs, n_terms)
     order = np.lexsort((rows, -impacts, of))
     rows, impacts = rows[order], impacts[order].astype(np.int32)
-    per_list = -(-np.diff(ends) // CHUNK)
+    per_list = -(-np.diff(ends) // size)
     owner = np.repeat(np.arange(len(lists)), per_list)
     chunk = np.arange(len(owner)) - np.repeat(np.cumsum(per_list) - per_list, per_list)
-    starts = ends[owner] + chunk * CHUNK
+    starts = ends[owner] + chunk * size
     cuts = np.append(starts, ends[-1:])
     columns = [owner, chunk.astype(np.int32), np.diff(cuts).astype(np.int32), impacts[starts], _lists(rows, cuts), _lists(impacts, cuts)]
     return pa.table([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["list", "chunk", "n_postings", "max_impact", "rows", "impacts"])
@@ -130,7 +130,7 @@ def build(docs: DataFrame, terms: DataFrame | None = None) -> Index:
                 lists = unpack_rows(data.as_py())
                 if not lists.num_rows:
                     continue
-                chunks = impact_chunks(lists, lengths.values.to_numpy(), n_docs, n_terms)
+                chunks = impact_chunks(lists, lengths.values.to_numpy(), n_docs, n_terms, CHUNK)
                 columns = [lists.column("term").combine_chunks().take(chunks.column("list")), pa.array(np.full(len(chunks), segment))]
                 whole = pa.table([*columns, *chunks.columns[1:]], ["term", "segment", *chunks.column_names[1:]])
                 yield from whole.combine_chunks().to_batches(max_chunksize=10_000)
