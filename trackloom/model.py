@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators.ranges import with_previous
+
 #: Columns and types; only jersey_number may be null.
 SCHEMA = (
     "match_id string, period tinyint, frame_id bigint, timestamp double, track_id string, team string, jersey_number smallint, "
@@ -64,12 +66,8 @@ def duplicate_keys(df: DataFrame) -> DataFrame:
 
 def monotonic_violations(df: DataFrame) -> DataFrame:
     """Frame ids that fall while time rises, per half."""
-    from pyspark.sql import Window
-
-    frames = df.select(*FRAME, "timestamp").distinct()
-    w = Window.partitionBy(*HALF).orderBy("timestamp", "frame_id")
-    falls = F.col("frame_id") < F.lag("frame_id").over(w)
-    return frames.withColumn("falls", F.coalesce(falls, F.lit(False))).groupBy(*HALF).agg(F.count_if("falls").alias("violations"))
+    frames = with_previous(df.select(*FRAME, "timestamp").distinct(), HALF, "timestamp", ["timestamp", "frame_id"], {"before": "frame_id"})
+    return frames.groupBy(*HALF).agg(F.count_if(F.col("frame_id") < F.col("before")).alias("violations"))
 
 
 def validate(df: DataFrame, strict_ranges: bool = True) -> DataFrame:

@@ -1,15 +1,18 @@
 """Velocity, speed and distance of tracks, in window functions over (match, half, track).
 
 A track breaks into segments where a gap is too long or a step impossible. Each segment is resampled to the frame
-rate if it isn't regular, differentiated by a Savitzky-Golay filter of order 1 or 2 in closed form (polynomial fits at
-the ends), and read back at its own times. The window is odd and shrinks for short segments. Ball rows stay, without any
-of it.
+rate if it isn't regular, differentiated by a Savitzky-Golay filter (polynomial fits at the ends), and read back at its own
+times. Orders 1 and 2 have a closed form; higher ones are projections whose weights are literal arrays, one for the middle
+and one for each place at the ends. The window is odd and shrinks for short segments; one that is too short for the order
+has plain differences. Ball rows stay, without any of it.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,8 +34,6 @@ class Motion:
     def __post_init__(self):
         if self.window % 2 == 0 or not 1 <= self.order < self.window:
             raise ValueError("window must be odd and larger than the order, which is at least 1")
-        if self.order > 2:
-            raise ValueError("orders over 2 have no closed form here")
         if min(self.rate, self.max_speed, self.max_gap) <= 0:
             raise ValueError("rate, max_speed and max_gap must be positive")
 
@@ -70,9 +71,41 @@ def uniform_grid(laid: DataFrame, cfg: Motion = Motion()) -> tuple[DataFrame, Da
     return s, g.select(*SEGMENT, "g", "n_grid", ahead("x").alias("gx"), ahead("y").alias("gy"))
 
 
+def projection_weights(m: int, order: int) -> np.ndarray:
+    """Row k, 0 to 2 m: the weights of 2 m + 1 values at unit steps whose sum is the derivative at value k of the polynomial
+    that fits them best. The fit is a projection on an orthogonal basis, over places from -1 to 1."""
+    places = np.arange(-m, m + 1) / m
+    powers = np.vander(places, order + 1, increasing=True)
+    basis, triangle = np.linalg.qr(powers)
+    slopes = np.column_stack([np.zeros(2 * m + 1), *(k * places ** (k - 1) for k in range(1, order + 1))])
+    return slopes @ np.linalg.solve(triangle, basis.T) / m
+
+
+def _projected(c: str, cfg: Motion, reach: int) -> Column:
+    """As ``_derivative``, for any order: the weights are looked up by half the window and the place within it."""
+    half, dt = cfg.window // 2, cfg.dt
+    g, n, around = F.col("g"), F.col("n_grid"), F.col(f"around_{c}")
+    m = F.least(F.lit(half), F.floor((n - 1) / 2)).cast("int")
+    own = F.least(g, F.lit(reach)).cast("int")
+    least = cfg.order // 2 + 1  # the shortest window that is longer than the order
+    tables = [projection_weights(k, cfg.order).tolist() if k >= least else [] for k in range(half + 1)]
+    middle = F.from_json(F.lit(json.dumps(projection_weights(half, cfg.order)[half].tolist())), "array<double>")
+    ends = F.from_json(F.lit(json.dumps(tables)), "array<array<array<double>>>")
+    dot = lambda values, weights: F.aggregate(F.zip_with(values, weights, lambda v, w: v * w), F.lit(0.0), lambda s, v: s + v) / dt
+    inner = dot(F.slice(around, own - half + 1, 2 * half + 1), middle)
+    # A window that lies inside the segment and as near to the point as it can.
+    first = F.least(F.greatest(g - m, F.lit(0)), n - 1 - 2 * m)
+    outer = dot(F.slice(around, (own + first - g + 1).cast("int"), 2 * m + 1), F.get(F.get(ends, m), (g - first).cast("int")))
+    before, after = F.greatest(own - 1, F.lit(0)), F.least(own + 1, F.size(around) - 1)
+    plain = F.try_divide(F.get(around, after) - F.get(around, before), (after - before) * dt)
+    return F.when(n == 1, 0.0).when(m < least, plain).when((n >= cfg.window) & g.between(half, n - 1 - half), inner).otherwise(outer)
+
+
 def _derivative(c: str, cfg: Motion, reach: int) -> Column:
     """d/dt at a grid point of its segment, per the columns g, n_grid and around_<c>: the values of the points up to
     ``reach`` away, in order. m is half the window that fits."""
+    if cfg.order > 2:
+        return _projected(c, cfg, reach)
     half, dt = cfg.window // 2, cfg.dt
     g, n, around = F.col("g"), F.col("n_grid"), F.col(f"around_{c}")
     # One row of sums would be divided by zero where there are one or two points: m is at least 1 there.

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import FRAME, HALF
+from .ranges import ranked, with_previous
 
 PLAYER = ["match_id", "track_id", "team"]
 
@@ -18,7 +19,7 @@ def downsample(df: DataFrame, from_hz: float, to_hz: float) -> DataFrame:
     if n <= 1:
         return df
     frames = df.filter("NOT is_ball").select(*FRAME).distinct()
-    kept = frames.withColumn("k", F.row_number().over(Window.partitionBy(*HALF).orderBy("frame_id"))).filter((F.col("k") - 1) % n == 0).drop("k")
+    kept = ranked(frames, HALF, "frame_id", ["frame_id"], "k").filter((F.col("k") - 1) % n == 0).select(*FRAME)
     return df.join(kept, FRAME, "left_semi")
 
 
@@ -59,11 +60,16 @@ def period_ranges(df: DataFrame) -> DataFrame:
     return df.groupBy(*HALF).agg(F.min("timestamp").alias("start_s"), F.max("timestamp").alias("end_s"))
 
 
+def _steps(df: DataFrame) -> DataFrame:
+    """Frames with their time and ``step``, the seconds since the frame before."""
+    frames = with_previous(df.select(*FRAME, "timestamp").distinct(), HALF, "timestamp", ["timestamp", "frame_id"], {"before": "timestamp"})
+    return frames.select(*FRAME, "timestamp", (F.col("timestamp") - F.col("before")).alias("step"))
+
+
 def match_meta(df: DataFrame) -> DataFrame:
     """Frame rate (one over the median step, 6 places), and the number of halves and frames."""
-    frames = df.select(*FRAME, "timestamp").distinct()
-    step = F.col("timestamp") - F.lag("timestamp").over(Window.partitionBy(*HALF).orderBy("timestamp"))
-    return frames.withColumn("step", step).groupBy("match_id").agg(F.round(1.0 / F.median("step"), 6).alias("frame_rate"), F.count_distinct("period").alias("n_periods"), F.count("*").alias("n_frames"))
+    frames = _steps(df)
+    return frames.groupBy("match_id").agg(F.round(1.0 / F.median("step"), 6).alias("frame_rate"), F.count_distinct("period").alias("n_periods"), F.count("*").alias("n_frames"))
 
 
 def nearest_frame(df: DataFrame, period: int, seconds: float) -> DataFrame:
@@ -83,13 +89,19 @@ def frame_cells(space: DataFrame, period: int, frame_id: int) -> DataFrame:
 
 def elapsed(df: DataFrame) -> DataFrame:
     """Frames with seconds since the match began: halves before count as long as their last time and one median step."""
-    frames = df.select(*FRAME, "timestamp").distinct()
-    step = F.col("timestamp") - F.lag("timestamp").over(Window.partitionBy(*HALF).orderBy("timestamp"))
-    halves = frames.withColumn("step", step).groupBy(*HALF).agg((F.max("timestamp") + F.median("step")).alias("long"))
+    frames = _steps(df)
+    halves = frames.groupBy(*HALF).agg((F.max("timestamp") + F.median("step")).alias("long"))
     before = F.coalesce(F.sum("long").over(Window.partitionBy("match_id").orderBy("period").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     return frames.join(halves.withColumn("before", before).drop("long"), HALF).select(*FRAME, (F.col("timestamp") + F.col("before")).alias("elapsed_s"))
 
 
+def clock_label(seconds: Column) -> Column:
+    """Minutes and seconds as ``mm:ss``, whole seconds rounded down."""
+    whole = F.floor(seconds)
+    two = lambda x: F.when(x < 100, F.lpad(x.cast("string"), 2, "0")).otherwise(x.cast("string"))
+    return F.concat(two(F.floor(whole / 60)), F.lit(":"), two(whole % 60))
+
+
 def gap_breaks(rows: DataFrame, key: list[str], value: str, longest: float = 1.0) -> DataFrame:
     """key, timestamp, value, with a null row in front of each row after too long a gap."""
     w = Window.partitionBy(*key).orderBy("timestamp")

@@ -41,30 +41,42 @@ g5 AS (SELECT *, least(greatest(CASE WHEN regular OR nt IS NULL THEN 0.0::DOUBLE
 grid AS (SELECT match_id, period, track_id, seg, g, n_grid, x_pitch + (coalesce(nx, x_pitch) - x_pitch) * part AS gx, y_pitch + (coalesce(ny, y_pitch) - y_pitch) * part AS gy FROM g5)"""
 
 
-def _kin(window: int = 21) -> str:
+def _kin(window: int = 21, order: int = 2) -> str:
     half = window // 2
     key = "PARTITION BY match_id, period, track_id, seg"
+    powers = {p: sum(k**p for k in range(-half, half + 1)) for p in (2, 4, 6)}
+    bend = powers[4] / powers[2]  # what a cubic takes from the line
+    cubic = [k / powers[2] - bend * (k**3 - bend * k) / (powers[6] - powers[4] * bend) for k in range(1, half + 1)]
 
     def fit(c: str, where: str) -> str:
         k = f"k{where}"
         total = lambda x: f"sum(CASE WHEN abs({k}) <= m THEN {x} ELSE 0 END) OVER p"
         a1 = f"{total(f'{k} * {c}')} / s2"
+        if order == 3:
+            a2 = f"{total(f'({k} * {k} - s2 / (2 * m + 1)) * {c}')} / (s4 - s2 * s2 / (2 * m + 1))"
+            a3 = f"{total(f'({k} * {k} * {k} - s4 / s2 * {k}) * {c}')} / (s6 - s4 * s4 / s2)"
+            return f"({a1} + 2 * ({a2}) * {k} + ({a3}) * (3 * {k} * {k} - s4 / s2)) / 0.04::DOUBLE"
         a2 = f"((2 * m + 1) * {total(f'{k} * {k} * {c}')} - s2 * {total(c)}) / ((2 * m + 1) * s4 - s2 * s2)"
         return f"({a1} + 2 * ({a2}) * {k}) / 0.04::DOUBLE"
 
     def derivative(c: str) -> str:
         inner = " + ".join(f"{k}.0::DOUBLE * (lead({c}, {k}) OVER o - lag({c}, {k}) OVER o)" for k in range(1, half + 1))
         s2 = half * (half + 1) * (2 * half + 1) / 3
+        short = ""
+        if order == 3:
+            inner = " + ".join(f"CAST({w!r} AS DOUBLE) * (lead({c}, {k}) OVER o - lag({c}, {k}) OVER o)" for k, w in enumerate(cubic, 1))
+            s2 = 1.0  # the weights are whole already
+            short = f" WHEN n_grid < 5 THEN coalesce((lead({c}) OVER o - lag({c}) OVER o) / 0.08::DOUBLE, (lead({c}) OVER o - {c}) / 0.04::DOUBLE, ({c} - lag({c}) OVER o) / 0.04::DOUBLE)"
         pair = f"coalesce((lead({c}) OVER o - {c}) / 0.04::DOUBLE, ({c} - lag({c}) OVER o) / 0.04::DOUBLE, 0.0::DOUBLE)"
         return (
-            f"CASE WHEN n_grid = 1 THEN 0.0::DOUBLE WHEN n_grid = 2 THEN {pair} WHEN n_grid >= {window} AND g BETWEEN {half} AND n_grid - 1 - {half} THEN ({inner}) / CAST({s2 / 25.0!r} AS DOUBLE) "
+            f"CASE WHEN n_grid = 1 THEN 0.0::DOUBLE WHEN n_grid = 2 THEN {pair}{short} WHEN n_grid >= {window} AND g BETWEEN {half} AND n_grid - 1 - {half} THEN ({inner}) / CAST({s2 / 25.0!r} AS DOUBLE) "
             f"WHEN CASE WHEN n_grid >= {window} THEN g < {half} ELSE g <= m END THEN {fit(c, 'h')} ELSE {fit(c, 't')} END"
         )
 
     return f"""
 k0 AS (SELECT *, CAST(greatest(least({half}, (n_grid - 1) // 2), 1) AS DOUBLE) AS m FROM grid),
 k1 AS (SELECT *, m * (m + 1) * (2 * m + 1) / 3 AS s2, g - m AS kh, g - (n_grid - 1 - m) AS kt FROM k0),
-k2 AS (SELECT *, s2 * (3 * m * m + 3 * m - 1) / 5 AS s4 FROM k1),
+k2 AS (SELECT *, s2 * (3 * m * m + 3 * m - 1) / 5 AS s4, s2 * (3 * m * m * m * m + 6 * m * m * m - 3 * m + 1) / 7 AS s6 FROM k1),
 k3 AS (SELECT match_id, period, track_id, seg, g, {derivative('gx')} AS gvx, {derivative('gy')} AS gvy FROM k2 WINDOW o AS ({key} ORDER BY g), p AS ({key})),
 k4 AS (SELECT *, coalesce(lead(gvx) OVER o, gvx) AS nvx, coalesce(lead(gvy) OVER o, gvy) AS nvy FROM k3 WINDOW o AS ({key} ORDER BY g)),
 k5 AS (SELECT *, CASE WHEN regular THEN CAST(i AS DOUBLE) ELSE least((timestamp - t0) / 0.04::DOUBLE, CAST(n_grid - 1 AS DOUBLE)) END AS p FROM smp),
@@ -212,6 +224,8 @@ def _swept() -> str:
 def _entries() -> dict[str, tuple[list[str], str, str]]:
     """name: tables needed, SQL, columns to round."""
     trk, seg, kin = [_TRK], [_TRK, _SEG], [_TRK, _SEG, _GRID, _kin()]
+    elapsed = "SELECT f.match_id, f.period, frame_id, timestamp + coalesce(b, 0) AS elapsed_s FROM (SELECT DISTINCT match_id, period, frame_id, timestamp FROM trk) f JOIN (SELECT match_id, period, sum(l) OVER (PARTITION BY match_id ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM (SELECT match_id, period, max(timestamp) + median(s) AS l FROM (SELECT *, timestamp - lag(timestamp) OVER (PARTITION BY match_id, period ORDER BY timestamp) AS s FROM (SELECT DISTINCT match_id, period, frame_id, timestamp FROM trk)) GROUP BY ALL)) h ON f.match_id = h.match_id AND f.period = h.period"
+    two = [_TRK.replace("trk AS", "trk1 AS"), "\ntrk AS (SELECT * FROM trk1 UNION ALL SELECT * REPLACE ('again' AS match_id, -x_pitch AS x_pitch) FROM trk1 WHERE frame_id >= 7)"]
     shape_, press, phys = [_TRK, _OUT, _DIR, _SHAPE], [_TRK, _PRESS], [*kin, _THIN, _cov("thin", "ct"), _efforts(), _TABLE]
     alive_thin = [_TRK, _THIN, _cov("trk", "cf"), _cov("thin", "ct")]
     all_ = "match_id, period, frame_id, timestamp, track_id, team, jersey_number, x_pitch, y_pitch, is_ball, is_gk, ball_state"
@@ -243,7 +257,8 @@ def _entries() -> dict[str, tuple[list[str], str, str]]:
         "goalkeeper_ids": (trk, "SELECT DISTINCT match_id, track_id FROM trk WHERE is_gk", ""),
         "full_match_tracks": ([_TRK, _FULL], "SELECT match_id, track_id FROM fm1", ""),
         "outfield_full_match": ([_TRK, _FULL], "SELECT match_id, track_id FROM fm1 EXCEPT SELECT match_id, track_id FROM trk WHERE is_gk", ""),
-        "elapsed_time": (trk, "SELECT f.match_id, f.period, frame_id, timestamp + coalesce(b, 0) AS elapsed_s FROM (SELECT DISTINCT match_id, period, frame_id, timestamp FROM trk) f JOIN (SELECT match_id, period, sum(l) OVER (PARTITION BY match_id ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM (SELECT match_id, period, max(timestamp) + median(s) AS l FROM (SELECT *, timestamp - lag(timestamp) OVER (PARTITION BY match_id, period ORDER BY timestamp) AS s FROM (SELECT DISTINCT match_id, period, frame_id, timestamp FROM trk)) GROUP BY ALL)) h ON f.match_id = h.match_id AND f.period = h.period", "elapsed_s"),
+        "elapsed_time": (trk, elapsed, "elapsed_s"),
+        "elapsed_label": ([*trk, f"\nel AS ({elapsed})"], "SELECT match_id, period, frame_id, lpad((s // 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0') AS label FROM (SELECT *, floor(round(elapsed_s * 7, 3))::BIGINT AS s FROM el)", ""),
         "window_slice": (trk, f"SELECT {_K} FROM trk WHERE timestamp BETWEEN 1.0 AND 3.0", ""),
         "gap_breaks": (trk, "SELECT match_id, period, track_id, timestamp, x_pitch FROM trk UNION ALL SELECT match_id, period, track_id, (p + timestamp) / 2, NULL FROM (SELECT *, lag(timestamp) OVER (PARTITION BY match_id, period, track_id ORDER BY timestamp) AS p FROM trk) WHERE timestamp - p > 1.0", "timestamp x_pitch"),
         "period_ranges": (trk, "SELECT match_id, period, min(timestamp) AS start_s, max(timestamp) AS end_s FROM trk GROUP BY ALL", "start_s end_s"),
@@ -280,6 +295,9 @@ def _entries() -> dict[str, tuple[list[str], str, str]]:
         "step_distance": (kin, f"SELECT {_K}, step_dist FROM kin", "step_dist"),
         "kinematics": (kin, f"SELECT {_K}, vx, vy, speed, step_dist, glitch FROM kin UNION ALL SELECT {_K}, NULL, NULL, NULL, NULL, NULL FROM trk WHERE is_ball", "vx vy speed step_dist"),
         "clip_report": (kin, "SELECT match_id, count_if(raw_speed > 12)::BIGINT AS n_clipped, count(*) AS n_total, count_if(raw_speed > 12) / count(*)::DOUBLE AS clipped_share, max(raw_speed) AS max_raw_speed, count_if(impossible)::BIGINT AS glitch_steps, count_if(glitch)::BIGINT AS glitch_frames FROM kin GROUP BY ALL", "clipped_share max_raw_speed"),
+        "kinematics_cubic": ([_TRK, _SEG, _GRID, _kin(order=3)], f"SELECT {_K}, vx, vy, raw_speed FROM kin", "vx vy raw_speed"),
+        "kinematics_two_matches": ([*two, _SEG, _GRID, _kin()], f"SELECT {_K}, speed FROM kin", "speed"),
+        "thinned_two_matches": ([*two, _THIN], f"SELECT {_K} FROM thin", ""),
         "glitch_report": (seg, "SELECT match_id, team, count_if(impossible)::BIGINT AS glitch_steps, count_if(glitch)::BIGINT AS glitch_frames FROM seg GROUP BY ALL", ""),
         "total_distance": (kin, "SELECT match_id, track_id, sum(step_dist) AS distance_m FROM kin WHERE step_dist IS NOT NULL GROUP BY ALL", "distance_m"),
         "total_distance_by_period": (kin, "SELECT match_id, period, track_id, sum(step_dist) AS distance_m FROM kin WHERE step_dist IS NOT NULL GROUP BY ALL", "distance_m"),
@@ -294,7 +312,7 @@ def _entries() -> dict[str, tuple[list[str], str, str]]:
         "sprint_grid": ([*kin, _grid_sql("kin")], "SELECT * FROM sg", "sprints_per_player_mean threshold"),
         "sprint_spread": ([*kin, _grid_sql("kin")], "SELECT match_id, (max(total_sprints) - min(total_sprints)) / max(total_sprints) FILTER (threshold = 7.0)::DOUBLE * 100 AS spread_pct FROM sg GROUP BY ALL", "spread_pct"),
         "physical_table": (phys, "SELECT * FROM phy", "distance_m hsr_distance_m coverage_pct top_speed_mps"),
-        "physical_join": (phys, "SELECT match_id, track_id, team, coverage_pct, coverage_pct < 80 AS below_coverage, CASE WHEN coverage_pct >= 80 THEN 1.0::DOUBLE END AS distance_m, CASE WHEN coverage_pct >= 80 THEN h END AS hsr_distance_m, CASE WHEN coverage_pct >= 80 THEN 0::INT END AS n_sprints FROM ph1", "distance_m hsr_distance_m coverage_pct"),
+        "physical_join": (phys, "SELECT match_id, track_id, team, coverage_pct, coverage_pct < 80 AS below_coverage, CASE WHEN coverage_pct >= 80 THEN d END AS distance_m, CASE WHEN coverage_pct >= 80 THEN h END AS hsr_distance_m, CASE WHEN coverage_pct >= 80 THEN n END AS n_sprints FROM ph1", "distance_m hsr_distance_m coverage_pct"),
         "hsr_share": (phys, "SELECT match_id, track_id, team, CASE WHEN distance_m <> 0 THEN hsr_distance_m / distance_m * 100 END AS hsr_share_pct FROM phy", "hsr_share_pct"),
         "player_table": (phys, f"SELECT match_id, track_id, team, c.coverage_pct, {shown} AS distance_text FROM ctm c FULL JOIN phy USING (match_id, track_id, team)", "coverage_pct"),
         "range_checks": ([*phys, _FULL, _OUT, _DIR, _SHAPE, _checks()], "SELECT * FROM chk", "value low high"),

@@ -53,6 +53,14 @@ def _seen(t: DataFrame) -> DataFrame:
     return frames.detected_pairs(_records(t))
 
 
+def _measured(kin: DataFrame) -> DataFrame:
+    """Fast running, distance and sprints of each track, from their own operators."""
+    key = ["match_id", "track_id", "team"]
+    sprints = physical.sprint_counts(physical.sprints(kin)).select(*key, "n_sprints")
+    distance = physical.distance_covered(kin).filter("period IS NULL").select(*key, "distance_m")
+    return physical.fast_running(kin).join(distance, key).join(sprints, key, "left").fillna(0, ["n_sprints"])
+
+
 def _checks(t: DataFrame) -> DataFrame:
     return reports.range_checks(_table(t), sampling.full_match_tracks(t), sampling.goalkeepers(t), shape.team_shape(t), BANDS)
 
@@ -66,6 +74,11 @@ def _areas(space_: DataFrame) -> DataFrame:
     return space_.drop("cell_wkt").withColumn("area_m2", F.round("area_m2", 3))
 
 
+def _two(t: DataFrame) -> DataFrame:
+    """The match, and another one in which the sides of the pitch are changed and the first frames are missing."""
+    return t.unionByName(t.filter("frame_id >= 7").withColumns({"match_id": F.lit("again"), "x_pitch": -F.col("x_pitch")}))
+
+
 DIRECTIONS = {"home": 1, ("home", 2): -1, "away": -1}
 KIN = ["match_id", "period", "track_id", "frame_id"]
 TEAM = ["match_id", "period", "frame_id", "team"]
@@ -90,6 +103,7 @@ QUERIES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "full_match_tracks": sampling.full_match_tracks,
     "outfield_full_match": reports.outfield_full_match,
     "elapsed_time": sampling.elapsed,
+    "elapsed_label": lambda t: sampling.elapsed(t).select("match_id", "period", "frame_id", sampling.clock_label(F.round(F.col("elapsed_s") * 7, 3)).alias("label")),
     "window_slice": lambda t: t.filter(F.col("timestamp").between(1.0, 3.0)).select(*KIN),
     "gap_breaks": lambda t: sampling.gap_breaks(t, ["match_id", "period", "track_id"], "x_pitch"),
     "period_ranges": sampling.period_ranges,
@@ -125,6 +139,9 @@ QUERIES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "speed_clip": lambda t: motion.kinematics(t).filter("NOT is_ball").select(*KIN, "vx", "vy", "speed"),
     "step_distance": lambda t: motion.kinematics(t).filter("NOT is_ball").select(*KIN, "step_dist"),
     "kinematics": lambda t: motion.kinematics(t).select(*KIN, "vx", "vy", "speed", "step_dist", "glitch"),
+    "kinematics_cubic": lambda t: motion.kinematics(t, motion.Motion(order=3)).filter("NOT is_ball").select(*KIN, "vx", "vy", "raw_speed"),
+    "kinematics_two_matches": lambda t: motion.kinematics(_two(t)).filter("NOT is_ball").select(*KIN, "speed"),
+    "thinned_two_matches": lambda t: sampling.downsample(_two(t), 25.0, 5.0).select(*KIN),
     "glitch_report": lambda t: motion.segments(t).groupBy("match_id", "team").agg(F.count_if("impossible").alias("glitch_steps"), F.count_if("glitch").alias("glitch_frames")),
     "clip_report": lambda t: motion.clip_report(motion.kinematics(t)),
     "total_distance": lambda t: motion.total_distance(motion.kinematics(t)),
@@ -140,7 +157,7 @@ QUERIES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "sprint_grid": lambda t: physical.sprint_grid(motion.kinematics(t)),
     "sprint_spread": lambda t: physical.spread_percent(physical.sprint_grid(motion.kinematics(t))),
     "physical_table": _table,
-    "physical_join": lambda t: physical.apply_coverage(physical.fast_running(motion.kinematics(t)).withColumns({"distance_m": F.lit(1.0), "n_sprints": F.lit(0)}), _coverage(t), 80.0),
+    "physical_join": lambda t: physical.apply_coverage(_measured(motion.kinematics(t)), _coverage(t), 80.0),
     "hsr_share": lambda t: reports.hsr_share(_table(t)),
     "player_table": lambda t: reports.player_table(_table(t), _coverage(t)),
     "range_checks": _checks,

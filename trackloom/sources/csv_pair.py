@@ -3,10 +3,11 @@ player, and the ball last. Coordinates are shares of the pitch from its top left
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import COLUMNS, PITCH_LENGTH, PITCH_WIDTH
+from ..operators.ranges import FRAMES, with_previous
 from .frames import ball_state, infer_keepers
 
 
@@ -48,8 +49,8 @@ def frame_meta(spark: SparkSession, path: str) -> DataFrame:
     fields = F.split("value", ",", 4)
     rows = spark.read.text(path).select(*(fields[i].try_cast(k).alias(n) for i, (n, k) in enumerate((("period", "int"), ("frame", "long"), ("time", "double"))))).dropna()
     rate = F.round(1.0 / F.median("step"), 6)
-    step = F.col("time") - F.lag("time").over(Window.partitionBy("period").orderBy("frame"))
-    found = rows.withColumn("step", step).groupBy("period").agg(rate.alias("frame_rate"), F.min("frame").alias("a"), F.max("frame").alias("b"))
+    steps = with_previous(rows, ["period"], "frame", ["frame"], {"before": "time"}, FRAMES)
+    found = steps.withColumn("step", F.col("time") - F.col("before")).groupBy("period").agg(rate.alias("frame_rate"), F.min("frame").alias("a"), F.max("frame").alias("b"))
     return found.select("period", "frame_rate", ((F.col("a") - 1) / F.col("frame_rate")).alias("start_s"), (F.col("b") / F.col("frame_rate")).alias("end_s"))
 
 
