@@ -53,15 +53,33 @@ def line_height(df: DataFrame, direction: DataFrame, deepest: int = DEEPEST) ->
     return rows.withColumn("dx", F.col("x") * F.col("direction")).withColumn("k", F.row_number().over(w)).filter(F.col("k") <= deepest).groupBy(*TEAM_FRAME).agg(F.avg("dx").alias("line_height_m"))
 
 
+def _cross(a: Column, b: Column, c: Column) -> Column:
+    return (b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"])
+
+
+def _chain(points: Column) -> Column:
+    """Half of the hull of points in order: a stack, of which a new point leaves what lies before its tangent. The chain is
+    convex, so the turns that stay are those at its beginning."""
+
+    def add(stack: Column, p: Column) -> Column:
+        turns = F.filter(F.sequence(F.lit(1), F.size(stack) - 1), lambda k: _cross(F.get(stack, k - 1), F.get(stack, k), p) > 0)
+        kept = F.when(F.size(stack) < 2, F.size(stack)).otherwise(1 + F.size(turns))
+        return F.concat(F.slice(stack, F.lit(1), kept), F.array(p))
+
+    return F.aggregate(points, F.slice(points, 1, 0), add)
+
+
 def hull_area(points: Column) -> Column:
-    """Area of the convex hull of an array of (x, y): the sum over the pairs that have all others on one side."""
-    distinct = F.array_distinct(points)
-    cross = lambda a, b, c: (b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"])
-    beyond = lambda a, b, c: (c["x"] - a["x"]) * (c["x"] - b["x"]) + (c["y"] - a["y"]) * (c["y"] - b["y"]) > 0
-    edge = lambda a, b: (a != b) & ~F.exists(distinct, lambda c: (cross(a, b, c) < 0) | ((cross(a, b, c) == 0) & beyond(a, b, c)))
-    twice = F.aggregate(distinct, F.lit(0.0), lambda s, a: s + F.aggregate(distinct, F.lit(0.0), lambda t, b: t + F.when(edge(a, b), a["x"] * b["y"] - b["x"] * a["y"]).otherwise(0.0)))
-    area = twice / 2
-    return F.when((F.size(distinct) >= 3) & (area > 1e-9), area)
+    """Area of the convex hull of an array of (x, y): both chains around the sorted points."""
+
+    def twice(chain: Column) -> Column:
+        steps = F.arrays_zip(F.slice(chain, F.lit(1), F.size(chain) - 1).alias("a"), F.slice(chain, F.lit(2), F.size(chain) - 1).alias("b"))
+        return F.aggregate(steps, F.lit(0.0), lambda s, e: s + e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])
+
+    let = lambda value, use: F.transform(F.array(value), use)[0]
+    both = lambda p: let(_chain(p), twice) + let(_chain(F.reverse(p)), twice)
+    area = let(F.sort_array(F.array_distinct(points)), lambda p: F.when(F.size(p) >= 3, both(p) / 2))
+    return F.when(area > 1e-9, area)
 
 
 def team_shape(df: DataFrame, direction: DataFrame | None = None, deepest: int = DEEPEST, hull: bool = True, least: int = LEAST_OUTFIELD) -> DataFrame:
