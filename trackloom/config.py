@@ -27,7 +27,7 @@ DEFAULTS: dict = {
     "cache": {"target_hz": 5.0},
 }
 #: Sections that a file must have, with all their keys but the nested ones.
-REQUIRED = ("kinematics", "shape", "physical", "pressing", "space")
+REQUIRED = ("pitch", "kinematics", "shape", "physical", "pressing", "space")
 
 
 def read_settings(spark: SparkSession, path: str) -> dict:

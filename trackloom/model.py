@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.ranges import with_previous
@@ -42,11 +42,11 @@ def drop_off_pitch(df: DataFrame) -> DataFrame:
     return df.filter((F.abs("x_pitch") <= X_MOST) & (F.abs("y_pitch") <= Y_MOST))
 
 
-def rule_counts(df: DataFrame) -> DataFrame:
-    """How many rows break each row rule, in one pass."""
+def _rules() -> dict[str, Column]:
+    """What a row must not be, by the rule's name."""
     ball = F.col("team") == "ball"
     null = [c for c in COLUMNS if c != "jersey_number"]
-    rules = {
+    return {
         "bad_team": ~F.col("team").isin("home", "away", "ball"),
         "bad_ball_state": ~F.col("ball_state").isin("alive", "dead"),
         "nulls": F.coalesce(*[F.when(F.col(c).isNull(), True) for c in null], F.lit(False)),
@@ -55,8 +55,25 @@ def rule_counts(df: DataFrame) -> DataFrame:
         "ball_mismatch": F.col("is_ball") != ball,
         "keeper_ball": F.col("is_gk") & F.col("is_ball"),
     }
-    normalised = F.coalesce(F.bool_and(F.col("x_pitch").between(0.0, 1.0)), F.lit(False))
-    return df.agg(F.count("*").alias("n_rows"), *(F.count_if(x).alias(k) for k, x in rules.items()), normalised.alias("normalised"))
+
+
+def _normalised() -> Column:
+    return F.coalesce(F.bool_and(F.col("x_pitch").between(0.0, 1.0)), F.lit(False))
+
+
+def rule_counts(df: DataFrame) -> DataFrame:
+    """How many rows break each row rule, in one pass."""
+    return df.agg(F.count("*").alias("n_rows"), *(F.count_if(x).alias(k) for k, x in _rules().items()), _normalised().alias("normalised"))
+
+
+def validation_counts(df: DataFrame) -> DataFrame:
+    """match_id, n_rows, and how often each rule is broken, those about keys and order as well: one reading of ``df``, one
+    grouping by frame, from which everything else comes."""
+    sums = {"n_rows": F.count("*"), **{k: F.count_if(x) for k, x in _rules().items()}, "duplicates": F.count("*") - F.size(F.collect_set("track_id"))}
+    frames = df.groupBy(*FRAME).agg(*(x.alias(k) for k, x in sums.items()), _normalised().alias("normalised"), F.collect_set("timestamp").alias("times"))
+    rows = frames.groupBy("match_id").agg(*(F.sum(k).alias(k) for k in sums), F.bool_and("normalised").alias("normalised"))
+    order = _falls(frames.select(*FRAME, F.explode("times").alias("timestamp"))).groupBy("match_id").agg(F.sum("violations").alias("monotonic"))
+    return rows.join(order.withColumnRenamed("match_id", "_own_"), F.col("match_id").eqNullSafe(F.col("_own_")), "left").drop("_own_").fillna(0, ["monotonic"])
 
 
 def duplicate_keys(df: DataFrame) -> DataFrame:
@@ -66,7 +83,11 @@ def duplicate_keys(df: DataFrame) -> DataFrame:
 
 def monotonic_violations(df: DataFrame) -> DataFrame:
     """Frame ids that fall while time rises, per half."""
-    frames = with_previous(df.select(*FRAME, "timestamp").distinct(), HALF, "timestamp", ["timestamp", "frame_id"], {"before": "frame_id"})
+    return _falls(df.select(*FRAME, "timestamp").distinct())
+
+
+def _falls(frames: DataFrame) -> DataFrame:
+    frames = with_previous(frames, HALF, "timestamp", ["timestamp", "frame_id"], {"before": "frame_id"})
     return frames.groupBy(*HALF).agg(F.count_if(F.col("frame_id") < F.col("before")).alias("violations"))
 
 
@@ -80,17 +101,20 @@ def validate(df: DataFrame, strict_ranges: bool = True) -> DataFrame:
         name, kind = field.split()
         if kinds[name] != kind:
             raise ContractError(f"{name} is {kinds[name]}, not {kind}")
-    counts = rule_counts(df).first().asDict()
+    for r in validation_counts(df).collect():  # a row for each match
+        if broken := broken_rule(r.asDict(), strict_ranges):
+            raise ContractError(broken)
+    return df.select(*COLUMNS)
+
+
+def broken_rule(counts: dict, strict_ranges: bool = True) -> str | None:
+    """The first rule that ``counts`` (a row of ``validation_counts``) has broken, in words."""
     for rule in ("bad_team", "bad_ball_state", "nulls", "bad_period", *(["off_pitch"] if strict_ranges else [])):
         if counts[rule]:
-            raise ContractError(f"{rule}: {counts[rule]} rows")
+            return f"{rule}: {counts[rule]} rows"
     if strict_ranges and counts["normalised"]:
-        raise ContractError("normalised: x_pitch lies in 0..1, not in metres")
-    if n := duplicate_keys(df).first()[0]:
-        raise ContractError(f"duplicates: {n} rows")
-    for rule in ("ball_mismatch", "keeper_ball"):
+        return "normalised: x_pitch lies in 0..1, not in metres"
+    for rule, what in (("duplicates", "rows"), ("ball_mismatch", "rows"), ("keeper_ball", "rows"), ("monotonic", "frames")):
         if counts[rule]:
-            raise ContractError(f"{rule}: {counts[rule]} rows")
-    if n := monotonic_violations(df).agg(F.sum("violations")).first()[0]:
-        raise ContractError(f"monotonic: {n} frames")
-    return df.select(*COLUMNS)
+            return f"{rule}: {counts[rule]} {what}"
+    return None

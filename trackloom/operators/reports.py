@@ -48,7 +48,7 @@ def range_checks(table: DataFrame, full: DataFrame, keepers: DataFrame, team_sha
 def excluded(table: DataFrame, full: DataFrame, least: float = 95.0) -> DataFrame:
     """How many full-match tracks are under the coverage, for each check that isn't made of them, and why."""
     refused = table.filter("below_coverage").join(full, ["match_id", "track_id"], "left_semi").groupBy("match_id").agg(F.count("*").alias("n_tracks"))
-    reason = F.concat(F.col("n_tracks").cast("string"), F.lit(f" full-match track(s) below {least:g}% coverage: physical metrics not reported"))
+    reason = F.concat(F.col("n_tracks").cast("string"), F.lit(f" of the full-match tracks have under {least:g}% coverage and no physical values"))
     return refused.select("match_id", F.explode(F.array(*map(F.lit, PLAYER_CHECKS))).alias("check"), "n_tracks", reason.alias("reason"))
 
 

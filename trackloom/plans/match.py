@@ -6,10 +6,12 @@ import dataclasses
 import json
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import model
 from ..config import Run
 from ..operators import motion, physical, pressing, sampling, shape, space
 from ..sources import MatchMeta, Provider
@@ -37,11 +39,19 @@ def match_tables(df: DataFrame, run: Run, rate: float = 25.0) -> dict[str, DataF
     return out | {"space_player": area, "space": space.team_space(area)}
 
 
-def write_tables(tables: dict[str, DataFrame], path: str, provider: str) -> None:
-    """A folder for each table, by provider and match; writing a match again replaces it alone."""
+#: Between provider and match in the key of a match among many.
+_BETWEEN = "\x1f"
+#: Matches that are one job: as many as one plan holds well.
+MATCHES_AT_ONCE = 64
+
+
+def write_tables(tables: dict[str, DataFrame], path: str, provider: str | None = None) -> None:
+    """A folder for each table, by provider and match; writing a match again replaces it alone. Without ``provider`` the
+    match ids have it in front."""
+    parts = F.split("match_id", _BETWEEN)
+    own = {"provider": F.lit(provider)} if provider is not None else {"provider": parts[0], "match_id": parts[1]}
     for name, df in tables.items():
-        writer = df.withColumn("provider", F.lit(provider)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy("provider", "match_id").parquet(f"{path}/{name}")
+        df.withColumns(own).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("provider", "match_id").parquet(f"{path}/{name}")
 
 
 def number(x: float | None) -> float | None:
@@ -61,38 +71,104 @@ class Artifacts:
     path: str
 
 
-def run_match(provider: Provider, match_id: str, run: Run) -> Artifacts:
-    """All tables of one match, and a JSON object about it."""
-    meta = provider.load_meta(match_id)
-    tables = match_tables(provider.load(match_id), run, meta.frame_rate)
-    write_tables(tables, run.path, provider.name)
-    spark = provider.spark
-    clip = read_table(spark, run.path, "clip", provider.name, match_id).first()
-    below = read_table(spark, run.path, "physical", provider.name, match_id).agg(F.count_if("below_coverage"), F.count("*")).first()
-    least = run.settings["physical"]["min_coverage_pct"]
-    note = f"{below[0]} of {below[1]} tracks below {least:g}% coverage: distance, fast running and sprints not reported for them" if below[0] else ""
+def _said(e: Exception) -> str:
+    """The kind of an error and what it says first."""
+    told = [line.strip() for line in str(e).splitlines() if line.strip() and not line.lstrip().startswith("at ")]
+    return f"{type(e).__name__}: {' '.join(told)[:500]}"
+
+
+@dataclass(frozen=True)
+class _Loaded:
+    provider: Provider
+    meta: MatchMeta
+    frames: DataFrame
+
+    @property
+    def key(self) -> str:
+        return f"{self.provider.name}{_BETWEEN}{self.meta.match_id}"
+
+
+def _about(m: _Loaded, run: Run, clip: dict, below: tuple[int, int]) -> dict:
+    """A written match's object. Its keys."""
+    least, rate = run.settings["physical"]["min_coverage_pct"], m.meta.frame_rate
+    note = f"tracks with too little coverage (under {least:g}%): {below[0]} of {below[1]}; their physical values are left out" if below[0] else ""
     names = ("n_clipped", "n_total", "clipped_share", "max_raw_speed", "glitch_steps", "glitch_frames")
-    about = {
-        "match_meta": dataclasses.asdict(meta) | {"periods": {str(k): list(v) for k, v in meta.periods.items()}}, "source_frame_rate_hz": meta.frame_rate, "cached_frame_rate_hz": run.rate(meta.frame_rate),
+    return {
+        "match_meta": dataclasses.asdict(m.meta) | {"periods": {str(k): list(v) for k, v in m.meta.periods.items()}}, "source_frame_rate_hz": rate, "cached_frame_rate_hz": run.rate(rate),
         "target_hz_requested": run.target_hz, "clip_report": {n: number(clip[n]) for n in names} if clip else {}, "physical_note": note, "physical_min_coverage_pct": least,
-        "physical_computed_at_hz": meta.frame_rate, "include_space": run.with_space,
+        "physical_computed_at_hz": rate, "include_space": run.with_space,
     }
-    write_json(spark, f"{run.path}/meta/provider={provider.name}/match_id={match_id}", about)
-    return Artifacts(provider.name, match_id, run.path)
+
+
+def _run_together(matches: list[_Loaded], run: Run) -> dict[str, str]:
+    """The tables of all ``matches``: validated in one job, computed and written in one for each table and frame rate, and
+    their objects in one. What is wrong with those that break the contract, by key; nothing of them is written."""
+    spark = matches[0].provider.spark
+    by_rate: dict[float, list[_Loaded]] = {}
+    frames = {m.key: m.frames.withColumn("match_id", F.lit(m.key)) for m in matches}
+    counts = {r["match_id"]: r.asDict() for r in model.validation_counts(reduce(DataFrame.unionByName, frames.values())).collect()}  # a row for each match
+    wrong = {k: broken for k in frames if (broken := model.broken_rule(counts[k]) if k in counts else "no rows")}
+    for m in matches:
+        if m.key not in wrong:
+            by_rate.setdefault(m.meta.frame_rate, []).append(m)
+    for rate, own in by_rate.items():
+        write_tables(match_tables(reduce(DataFrame.unionByName, (frames[m.key] for m in own)), run, rate), run.path)
+    good = [m for own in by_rate.values() for m in own]
+    if good:
+        ids = spark.createDataFrame([(m.provider.name, m.meta.match_id) for m in good], "provider string, match_id string")
+        mine = lambda name: read_table(spark, run.path, name).withColumn("match_id", F.col("match_id").cast("string")).join(F.broadcast(ids), ["provider", "match_id"])
+        clips = {(r["provider"], r["match_id"]): r.asDict() for r in mine("clip").collect()}  # a row for each match
+        below = {(r["provider"], r["match_id"]): (r["n"], r["of"]) for r in mine("physical").groupBy("provider", "match_id").agg(F.count_if("below_coverage").alias("n"), F.count("*").alias("of")).collect()}
+        found = [(m.provider.name, m.meta.match_id, json.dumps(_about(m, run, clips.get(k, {}), below.get(k, (0, 0))), allow_nan=False, sort_keys=True)) for m in good for k in [(m.provider.name, m.meta.match_id)]]
+        objects = spark.createDataFrame(found, "provider string, match_id string, value string").repartition(1)
+        objects.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("provider", "match_id").text(f"{run.path}/meta")
+    return wrong
+
+
+def _run_or_split(matches: list[_Loaded], run: Run) -> dict[str, str]:
+    """As ``_run_together``; where a match stops the job, halves of the matches are tried until it stands alone."""
+    try:
+        return _run_together(matches, run)
+    except Exception as e:  # noqa: BLE001 - raised by the caller, with its match
+        if len(matches) == 1:
+            return {matches[0].key: _said(e)}
+        middle = len(matches) // 2
+        return _run_or_split(matches[:middle], run) | _run_or_split(matches[middle:], run)
+
+
+def _loaded(provider: Provider, ids: list[str]) -> tuple[list[_Loaded], dict[str, str]]:
+    """The matches that can be read, and what is wrong with the others."""
+    try:
+        metas = provider.load_metas(ids)
+        return [_Loaded(provider, metas[i], provider.frames(i)) for i in ids], {}
+    except Exception as e:  # noqa: BLE001 - raised by the caller, with its match
+        if len(ids) == 1:
+            return [], {f"{provider.name}{_BETWEEN}{ids[0]}": _said(e)}
+        middle = len(ids) // 2
+        (a, x), (b, y) = _loaded(provider, ids[:middle]), _loaded(provider, ids[middle:])
+        return a + b, x | y
+
+
+def run_match(provider: Provider, match_id: str, run: Run) -> Artifacts:
+    """All tables of one match, and a JSON object about it."""
+    provider = dataclasses.replace(provider, matches={match_id: provider._arguments(match_id)})
+    return run_all([provider], run)[0]
 
 
 def run_all(providers: list[Provider], run: Run) -> list[Artifacts]:
-    """Every match of every provider. Those that fail are named together at the end; the others have been written."""
-    done, failed = [], []
+    """Every match of every provider, ``MATCHES_AT_ONCE`` in a job. Those that fail are named together at the end; the
+    others have been written."""
+    ready, failed = [], {}
     for provider in providers:
-        for match_id in provider.list_matches():
-            try:
-                done.append(run_match(provider, match_id, run))
-            except Exception as e:  # noqa: BLE001 - raised below, with its match
-                failed.append(f"{provider.name}/{match_id}: {e!r}")
+        if ids := provider.list_matches():
+            loaded, wrong = _loaded(provider, ids)
+            ready += loaded
+            failed |= wrong
+    for start in range(0, len(ready), MATCHES_AT_ONCE):
+        failed |= _run_or_split(ready[start : start + MATCHES_AT_ONCE], run)
     if failed:
-        raise RuntimeError("matches that failed:\n" + "\n".join(failed))
-    return done
+        raise RuntimeError("matches that failed:\n" + "\n".join(f"{k.replace(_BETWEEN, '/')}: {v}" for k, v in sorted(failed.items())))
+    return [Artifacts(m.provider.name, m.meta.match_id, run.path) for m in ready]
 
 
 def read_table(spark: SparkSession, path: str, name: str, provider: str | None = None, match_id: str | None = None) -> DataFrame:

@@ -316,7 +316,7 @@ def _entries() -> dict[str, tuple[list[str], str, str]]:
         "hsr_share": (phys, "SELECT match_id, track_id, team, CASE WHEN distance_m <> 0 THEN hsr_distance_m / distance_m * 100 END AS hsr_share_pct FROM phy", "hsr_share_pct"),
         "player_table": (phys, f"SELECT match_id, track_id, team, c.coverage_pct, {shown} AS distance_text FROM ctm c FULL JOIN phy USING (match_id, track_id, team)", "coverage_pct"),
         "range_checks": ([*phys, _FULL, _OUT, _DIR, _SHAPE, _checks()], "SELECT * FROM chk", "value low high"),
-        "range_excluded": ([*phys, _FULL], "SELECT match_id, unnest(['distance_km', 'top_speed_mps', 'hsr_share_pct', 'n_sprints']) AS \"check\", n_tracks, n_tracks || ' full-match track(s) below 95% coverage: physical metrics not reported' AS reason FROM (SELECT match_id, count(*) AS n_tracks FROM phy SEMI JOIN fm1 USING (match_id, track_id) WHERE below_coverage GROUP BY ALL)", ""),
+        "range_excluded": ([*phys, _FULL], "SELECT match_id, unnest(['distance_km', 'top_speed_mps', 'hsr_share_pct', 'n_sprints']) AS \"check\", n_tracks, n_tracks || ' of the full-match tracks have under 95% coverage and no physical values' AS reason FROM (SELECT match_id, count(*) AS n_tracks FROM phy SEMI JOIN fm1 USING (match_id, track_id) WHERE below_coverage GROUP BY ALL)", ""),
         "check_summary": ([*phys, _FULL, _OUT, _DIR, _SHAPE, _checks()], "SELECT \"check\", count(*) AS n, count_if(passed)::BIGINT AS n_passed, median(value) AS median, count(*) FILTER (at_clip_ceiling) AS n_at_clip_ceiling FROM chk GROUP BY ALL", "median"),
         "sensitivity_distance": ([*seg, _GRID, _FULL, _swept()], dist, "mean_distance_m mean_hsr_m"),
         "sensitivity_spreads": ([*swept, f"\nds AS ({dist})"], f"SELECT match_id, {spread('total_sprints', 'sg', mid)} AS spread_pct, " + spread("total_sprints", "sg WHERE \"window\" = 21", mid) + " AS threshold_only_pct, " + spread("total_sprints", "sg WHERE threshold = 7.0", mid) + " AS window_only_pct, " + spread("mean_distance_m", "ds", "\"window\" = 21") + f" AS distance_pct, {spread('total_sprints', 'sg', mid)} AS vs_default_pct FROM (SELECT DISTINCT match_id FROM trk)", "spread_pct threshold_only_pct window_only_pct distance_pct vs_default_pct"),

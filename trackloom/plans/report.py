@@ -13,7 +13,6 @@ from .checks import synthetic_checks
 from .match import number, read_table, write_json
 
 
-
 def stamp() -> str:
     return datetime.datetime.now(datetime.UTC).isoformat(timespec="seconds")
 
@@ -34,19 +33,26 @@ def match_checks(spark: SparkSession, run: Run) -> tuple[DataFrame, DataFrame, D
 
 
 def validation_report(spark: SparkSession, run: Run, path: str) -> dict:
-    """Writes all checks as a table and the counts as an object, and returns the latter. Failures in the object are
-    counted by check; the table names them."""
+    """Writes all checks as a table, and an object with the counts, every check that failed, what was left out or couldn't
+    be made, and each match's coverage; returns the latter. It grows with the matches, not with their frames."""
     cfg = run.motion(25.0)
     windows = run.settings["physical"]["sensitivity"]["savgol_window_frames_grid"]
     synthetic = synthetic_checks(spark, cfg, max(windows)).collect()  # 22 rows
     checks, refused, coverage = match_checks(spark, run)
     for name, df in (("checks", checks), ("excluded", refused), ("coverage", coverage)):
         df.write.mode("overwrite").parquet(f"{path}/{name}")
+    made = spark.read.parquet(f"{path}/checks")
+    plain = lambda df: [{k: number(v) if isinstance(v, float) else v for k, v in r.asDict().items()} for r in df.collect()]
+    failures = plain(made.filter("NOT passed").select("match_id", "track_id", "team", "check", "value", "low", "high").orderBy("match_id", "check", "team", "track_id"))
+    kinds = F.explode(F.array(*map(F.lit, (*reports.PLAYER_CHECKS, "gk_top_speed_mps", "hull_median_m2"))))
+    held = spark.read.parquet(f"{path}/coverage")
+    not_checked = plain(held.select("match_id", kinds.alias("check")).join(made, ["match_id", "check"], "left_anti").orderBy("match_id", "check"))
     rows = reports.check_summary(spark.read.parquet(f"{path}/checks")).collect()  # a row a kind of check
     n_pass, n = sum(r["passed"] for r in synthetic) + sum(r["n_passed"] for r in rows), len(synthetic) + sum(r["n"] for r in rows)
     report = {
         "generated_at": stamp(), "config_hash": settings_hash(run.settings), "synthetic": [{k: number(v) if isinstance(v, float) else v for k, v in r.asDict().items()} for r in synthetic],
         "checks": {r["check"]: {"n": r["n"], "n_passed": r["n_passed"], "median": number(r["median"])} for r in rows},
+        "failures": failures, "excluded": plain(spark.read.parquet(f"{path}/excluded").orderBy("match_id", "check")), "not_checked": not_checked, "coverage": plain(held.orderBy("match_id")),
         "summary": {
             "n_checks": n, "n_pass": n_pass, "n_fail": n - n_pass, "synthetic_all_pass": all(r["passed"] for r in synthetic), "physiological_all_pass": all(r["n"] == r["n_passed"] for r in rows),
             "all_pass": bool(n) and n == n_pass, "n_top_speed_at_clip_ceiling": sum(r["n_at_clip_ceiling"] for r in rows),
@@ -56,8 +62,9 @@ def validation_report(spark: SparkSession, run: Run, path: str) -> dict:
     return report
 
 
-def sensitivity_report(df: DataFrame, run: Run, rate: float, path: str) -> dict:
-    """The sweep over windows and sprint thresholds of one match's frame at its full rate, written as an object."""
+def sensitivity_report(df: DataFrame, run: Run, rate: float, path: str, baseline: tuple[int, float] | None = None) -> dict:
+    """The sweep over windows and sprint thresholds of one match's frame at its full rate, written as an object. Spreads
+    are relative to ``baseline`` (window, threshold), or else to the settings' own if the grids have them."""
     ph, cfg = run.settings["physical"], run.motion(rate)
     windows, thresholds = tuple(ph["sensitivity"]["savgol_window_frames_grid"]), tuple(map(float, ph["sensitivity"]["sprint_threshold_mps_grid"]))
     tracks = reports.outfield_full_match(df)
@@ -65,7 +72,9 @@ def sensitivity_report(df: DataFrame, run: Run, rate: float, path: str) -> dict:
     grid = physical.sprint_grid(swept, thresholds, rate, tracks, ph["sprint_min_duration_s"], ph["sprint_min_recovery_s"])
     distances = reports.sensitivity_distance(swept, tracks, ph["hsr_threshold_mps"])
     clipped = swept.groupBy("window").agg(F.count_if(F.col("raw_speed") > cfg.max_speed).alias("n")).collect()  # a row a window
-    default = (cfg.window, float(ph["sprint_threshold_mps"]))
+    default = baseline or (cfg.window, float(ph["sprint_threshold_mps"]))
+    if baseline and not (baseline[0] in windows and baseline[1] in thresholds):
+        raise ValueError(f"the baseline {baseline} is not in the grids")
     inside = default[0] in windows and default[1] in thresholds
     spread = reports.sensitivity_spreads(grid, distances, default if inside else None).first().asDict()  # one match
     spread.pop("match_id")

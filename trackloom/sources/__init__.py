@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,22 +89,31 @@ class Provider:
 
     def load_meta(self, match_id: str) -> MatchMeta:
         """Without the players' columns: from the description, or from frame numbers and times alone."""
-        own = self._arguments(match_id)
-        teams, length, width = (own.get("home_team", "home"), own.get("away_team", "away")), own.get("length", PITCH_LENGTH), own.get("width", PITCH_WIDTH)
-        rate, periods = None, {}
-        if self.name == "epts":
-            about = epts.describe(self.spark, own["xml"])
-            rate, teams, length, width = about.frame_rate, about.teams, about.length, about.width
-            periods = {k: ((a - about.periods[0][1]) / rate, (b - about.periods[0][1]) / rate) for k, a, b in about.periods}
-        elif self.name == "csv_pair":
-            rows = csv_pair.frame_meta(self.spark, own["home"]).collect()  # two halves
-            rate, periods = rows[0]["frame_rate"], {r["period"]: (r["start_s"], r["end_s"]) for r in sorted(rows)}
-        elif self.name == "jsonl" and own.get("match"):
-            found = jsonl.read_document(self.spark, own["match"])
-            rate, teams, length, width = found.frame_rate, found.teams, found.length, found.width
-            periods = {k: (0.0, (b - a) / (rate or jsonl.RATE)) for k, a, b in found.periods if k in (1, 2)}
-        if rate is None or not periods:
-            frames = self.frames(match_id).select("match_id", "period", "frame_id", "timestamp")
-            rate = rate or match_meta(frames).first()["frame_rate"]
-            periods = periods or {r["period"]: (r["start_s"], r["end_s"]) for r in period_ranges(frames).collect()}  # two halves
-        return MatchMeta(match_id, self.name, rate, length, width, *teams, periods, own.get("notes", ""))
+        return self.load_metas([match_id])[match_id]
+
+    def load_metas(self, match_ids: list[str]) -> dict[str, MatchMeta]:
+        """Of many matches: what no description says comes from all their files in one job."""
+        found, counted = {}, []
+        for i in match_ids:
+            own = self._arguments(i)
+            about = {"teams": (own.get("home_team", "home"), own.get("away_team", "away")), "length": own.get("length", PITCH_LENGTH), "width": own.get("width", PITCH_WIDTH), "rate": None, "periods": {}}
+            if self.name == "epts":
+                d = epts.describe(self.spark, own["xml"])
+                about = {"teams": d.teams, "length": d.length, "width": d.width, "rate": d.frame_rate, "periods": {k: ((a - d.periods[0][1]) / d.frame_rate, (b - d.periods[0][1]) / d.frame_rate) for k, a, b in d.periods}}
+            elif self.name == "jsonl" and own.get("match"):
+                j = jsonl.read_document(self.spark, own["match"])
+                about = {"teams": j.teams, "length": j.length, "width": j.width, "rate": j.frame_rate, "periods": {k: (0.0, (b - a) / (j.frame_rate or jsonl.RATE)) for k, a, b in j.periods if k in (1, 2)}}
+            if about["rate"] is None or not about["periods"]:
+                if self.name == "csv_pair":
+                    facts = csv_pair.frame_meta(self.spark, own["home"]).select(F.lit(i).alias("match_id"), "period", "frame_rate", "start_s", "end_s")
+                else:
+                    frames = self.frames(i).select("match_id", "period", "frame_id", "timestamp")
+                    facts = period_ranges(frames).join(match_meta(frames), "match_id").select("match_id", F.col("period").cast("int").alias("period"), "frame_rate", "start_s", "end_s")
+                counted.append(facts)
+            found[i] = about
+        rows = reduce(DataFrame.unionByName, counted).collect() if counted else []  # two halves of each match
+        for r in sorted(rows, key=lambda r: (r["match_id"], r["period"])):
+            about = found[r["match_id"]]
+            about["rate"] = about["rate"] or r["frame_rate"]
+            about.setdefault("counted", {})[r["period"]] = (r["start_s"], r["end_s"])
+        return {i: MatchMeta(i, self.name, a["rate"], a["length"], a["width"], *a["teams"], a["periods"] or a.get("counted", {}), self._arguments(i).get("notes", "")) for i, a in found.items()}
