@@ -182,6 +182,8 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
 
+#: Bytes of an ask, if it is alone in its list, and of asks that are broadcast; more are dealt out as the lists are.
+ASK_BYTES, MOST_ASKED_BYTES = 120, 100_000_000
 #: Joined chunks whose asks are answered together.
 _JOINED = 256
 
@@ -189,7 +191,7 @@ _JOINED = 256
 def _exact(index: Index, lists: DataFrame, candidates: DataFrame, n_asks: int) -> DataFrame:
     """(item, segment, row, score) of ``candidates`` (item, segment, row): a list is asked for all of them at once."""
     wanted = candidates.join(lists.select("item", "term", "qw"), "item").groupBy("term", "segment").agg(F.collect_list(F.struct("item", "row", "qw")).alias("asks"))
-    found = index.postings.select("term", "segment", "rows", "impacts").join(broadcast_if(wanted, n_asks, 40), ["term", "segment"])
+    found = index.postings.select("term", "segment", "rows", "impacts").join(broadcast_if(wanted, n_asks, ASK_BYTES, MOST_ASKED_BYTES), ["term", "segment"])
     answers = found.select("segment", "rows", "impacts", "asks").mapInArrow(_answers, "item long, segment long, row int, part long")
     return answers.groupBy("item", "segment", "row").agg(F.sum("part").alias("score"))
 
