@@ -14,7 +14,7 @@ import json
 import sys
 from dataclasses import replace
 
-from pyspark.errors import AnalysisException, SparkRuntimeError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import SparkSession
 
 from .config import DEFAULTS, Run, read_settings
@@ -60,7 +60,7 @@ def validate(spark: SparkSession, args: argparse.Namespace, run: Run) -> int:
         match_id = provider.list_matches()[0]
         try:
             swept = report.sensitivity_report(provider.load(match_id), run, provider.load_meta(match_id).frame_rate, args.reports)
-        except SparkRuntimeError as e:  # a match without sprints at the baseline has no spreads
+        except PySparkException as e:  # a match without sprints at the baseline has no spreads
             print(f"no sensitivity of {match_id}: {e}", file=sys.stderr)
             return 1
         print(swept["headline"]["sentence"])
