@@ -1,10 +1,14 @@
-"""Velocity, speed and distance of tracks, in window functions over (match, half, track).
+"""Velocity, speed and distance of tracks, in window functions over slices of (match, half, track).
 
 A track breaks into segments where a gap is too long or a step impossible. Each segment is resampled to the frame
 rate if it isn't regular, differentiated by a Savitzky-Golay filter (polynomial fits at the ends), and read back at its own
 times. Orders 1 and 2 have a closed form; higher ones are projections whose weights are literal arrays, one for the middle
 and one for each place at the ends. The window is odd and shrinks for short segments; one that is too short for the order
 has plain differences. Ball rows stay, without any of it.
+
+No task has a whole track. Rows are cut into slices of time: what a slice needs of others is its neighbours' rows at its
+ends and, for each piece of a segment, sums carried over the track's pieces (segments so far, rows so far, first and last
+time). Grid points are cut into slices of points with a halo, in which every window is complete.
 """
 
 from __future__ import annotations
@@ -20,6 +24,9 @@ from ..model import HALF
 
 TRACK = [*HALF, "track_id"]
 SEGMENT = [*TRACK, "seg"]
+#: Seconds of a track, and grid points of a segment, that one group of a window has (the points without their halo).
+SLICE_SECONDS, SLICE_POINTS = 160.0, 4096
+_SLICE = "_slice_"
 
 
 @dataclass(frozen=True)
@@ -43,31 +50,65 @@ class Motion:
 
 
 def segments(df: DataFrame, cfg: Motion = Motion()) -> DataFrame:
-    """Player rows with step_s (seconds since the row before), impossible, breaks, glitch and seg."""
-    w = Window.partitionBy(*TRACK).orderBy("timestamp", "frame_id")
-    dx, dy = F.col("x_pitch") - F.lag("x_pitch").over(w), F.col("y_pitch") - F.lag("y_pitch").over(w)
-    laid = df.filter("NOT is_ball").withColumns({"step_s": F.col("timestamp") - F.lag("timestamp").over(w), "jump": F.sqrt(dx * dx + dy * dy)})
-    bad = F.lit(False) if cfg.glitch_speed is None else F.coalesce((F.col("jump") > cfg.glitch_speed * F.col("step_s")) & (F.col("step_s") <= cfg.max_gap), F.lit(False))
-    laid = laid.withColumn("impossible", bad).withColumn("breaks", F.col("step_s").isNull() | (F.col("step_s") > cfg.max_gap) | F.col("impossible"))
-    return laid.withColumns({"glitch": F.col("impossible") & F.coalesce(F.lead("impossible").over(w), F.lit(False)), "seg": F.sum(F.col("breaks").cast("int")).over(w)})
+    """Player rows with step_s (seconds since the row before), impossible, breaks, glitch and seg; and, for
+    ``uniform_grid``, each row's place in its segment (i), the segment's t0, n_grid and regular, and the sample after it."""
+    key, here = [*TRACK, _SLICE], F.struct("timestamp", "frame_id", F.col("x_pitch").alias("x"), F.col("y_pitch").alias("y"))
+    # Rows without a time come first, as in the order.
+    rows = df.filter("NOT is_ball").withColumn(_SLICE, F.coalesce(F.floor(F.col("timestamp") / SLICE_SECONDS), F.lit(-(1 << 62))))
+    ends = rows.groupBy(*key).agg(F.min(here).alias("head"), F.max(here).alias("tail"))
+    w = Window.partitionBy(*TRACK).orderBy(_SLICE)
+    ends = ends.select(*key, F.lag("tail").over(w).alias("_tail_"), F.lead("head").over(w).alias("_head_"))
+
+    w = Window.partitionBy(*key).orderBy("timestamp", "frame_id")
+    laid = rows.join(ends, key).withColumns({"_before_": F.coalesce(F.lag(here).over(w), "_tail_"), "_after_": F.coalesce(F.lead(here).over(w), "_head_")})
+    step = lambda a, b: b["timestamp"] - a["timestamp"]
+    jump = lambda a, b: F.sqrt((b["x"] - a["x"]) * (b["x"] - a["x"]) + (b["y"] - a["y"]) * (b["y"] - a["y"]))
+
+    def impossible(a: Column, b: Column) -> Column:
+        return F.lit(False) if cfg.glitch_speed is None else F.coalesce((jump(a, b) > cfg.glitch_speed * step(a, b)) & (step(a, b) <= cfg.max_gap), F.lit(False))
+
+    before, after = F.col("_before_"), F.col("_after_")
+    laid = laid.withColumns({"step_s": step(before, here), "jump": jump(before, here), "impossible": impossible(before, here), "_next_": impossible(here, after)})
+    laid = laid.withColumn("breaks", F.col("step_s").isNull() | (F.col("step_s") > cfg.max_gap) | F.col("impossible"))
+    # Piece 0 of a slice goes on with the last segment of the slice before; every other begins a segment.
+    laid = laid.withColumns({"glitch": F.col("impossible") & F.col("_next_"), "_piece_": F.sum(F.col("breaks").cast("int")).over(w)})
+    own = Window.partitionBy(*key, "_piece_").orderBy("timestamp", "frame_id")
+    laid = laid.withColumns({"_i_": (F.row_number().over(own) - 1).cast("long"), "_sample_": F.lead(here).over(own)}).drop("_before_", "_after_", "_tail_", "_head_", "_next_")
+    return laid.join(_pieces(laid, cfg), [*key, "_piece_"]).withColumns({"i": F.col("_i_") + F.col("_done_"), "sample_after": F.coalesce("_sample_", "_first_")}).drop(_SLICE, "_piece_", "_i_", "_sample_", "_done_", "_first_")
+
+
+def _pieces(laid: DataFrame, cfg: Motion) -> DataFrame:
+    """One row for each piece of a segment in a slice: the segment and its facts, how many of its rows are before the piece
+    (_done_) and its first one after it (_first_)."""
+    here = F.struct("timestamp", "frame_id", F.col("x_pitch").alias("x"), F.col("y_pitch").alias("y"))
+    late = F.col("timestamp") - F.col("_i_") * cfg.dt
+    pieces = laid.groupBy(*TRACK, _SLICE, "_piece_").agg(
+        F.count("*").alias("n"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"),
+        F.min(here).alias("head"), F.min(late).alias("least"), F.max(late).alias("most"))
+    pieces = pieces.withColumn("seg", F.sum((F.col("_piece_") > 0).cast("int")).over(Window.partitionBy(*TRACK).orderBy(_SLICE, "_piece_")))
+    whole, w = Window.partitionBy(*SEGMENT), Window.partitionBy(*SEGMENT).orderBy(_SLICE)
+    done = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    pieces = pieces.withColumns({"_done_": done, "_first_": F.lead("head").over(w), "t0": F.min("first").over(whole), "n": F.sum("n").over(whole), "last": F.max("last").over(whole)})
+    # A regular segment has its rows where a grid from t0 would have them.
+    start = F.col("t0") + F.col("_done_") * cfg.dt
+    off = F.max(F.greatest(F.abs(F.col("least") - start), F.abs(F.col("most") - start))).over(whole)
+    pieces = pieces.withColumns({"n_grid": F.bround((F.col("last") - F.col("t0")) / cfg.dt).cast("long") + 1, "off": off})
+    regular = (F.col("n_grid") == F.col("n")) & (F.col("off") <= cfg.dt * 1e-3)
+    return pieces.select(*TRACK, _SLICE, "_piece_", "seg", "_done_", "_first_", "t0", "n_grid", regular.alias("regular"))
 
 
 def uniform_grid(laid: DataFrame, cfg: Motion = Motion()) -> tuple[DataFrame, DataFrame]:
     """(samples with i, t0, n_grid and regular; the segments' grid points with x and y)."""
-    w, whole = Window.partitionBy(*SEGMENT).orderBy("timestamp", "frame_id"), Window.partitionBy(*SEGMENT)
     dt = cfg.dt
-    s = laid.filter("NOT glitch").withColumns({"i": (F.row_number().over(w) - 1).cast("long"), "n": F.count("*").over(whole), "t0": F.min("timestamp").over(whole), "tn": F.max("timestamp").over(whole)})
-    s = s.withColumn("n_grid", F.bround((F.col("tn") - F.col("t0")) / dt).cast("long") + 1)
-    off = F.max(F.abs(F.col("timestamp") - (F.col("t0") + F.col("i") * dt))).over(whole)
-    s = s.withColumn("regular", (F.col("n_grid") == F.col("n")) & (off <= dt * 1e-3))
-    first = F.when(F.col("regular"), F.col("i")).otherwise(F.ceil((F.col("timestamp") - F.col("t0")) / dt - 1e-6))
-    g = s.select(*SEGMENT, "timestamp", "frame_id", "t0", "n_grid", "regular", F.col("x_pitch").alias("x"), F.col("y_pitch").alias("y"), first.alias("at"))
-    nexts = {f"next_{c}": F.lead(c).over(w) for c in ("timestamp", "x", "y", "at")}
-    g = g.withColumns(nexts).withColumn("to", F.coalesce(F.col("next_at"), F.col("n_grid")) - 1).filter(F.col("to") >= F.col("at"))
-    g = g.withColumn("g", F.explode(F.sequence("at", "to")))
-    part = F.when(F.col("regular") | F.col("next_timestamp").isNull(), 0.0).otherwise(F.try_divide(F.col("t0") + F.col("g") * dt - F.col("timestamp"), F.col("next_timestamp") - F.col("timestamp")))
+    s = laid.filter("NOT glitch")
+    place = lambda t: F.ceil((t - F.col("t0")) / dt - 1e-6)
+    after, regular = F.col("sample_after"), F.col("regular")
+    first = F.when(regular, F.col("i")).otherwise(place(F.col("timestamp")))
+    stop = F.when(after.isNull(), F.col("n_grid")).when(regular, F.col("i") + 1).otherwise(place(after["timestamp"])) - 1
+    g = s.withColumns({"at": first, "to": stop}).filter("to >= at").withColumn("g", F.explode(F.sequence("at", "to")))
+    part = F.when(regular | after.isNull(), 0.0).otherwise(F.try_divide(F.col("t0") + F.col("g") * dt - F.col("timestamp"), after["timestamp"] - F.col("timestamp")))
     part = F.least(F.greatest(part, F.lit(0.0)), F.lit(1.0))
-    ahead = lambda c: F.col(c) + (F.coalesce(f"next_{c}", c) - F.col(c)) * part
+    ahead = lambda c: F.col(f"{c}_pitch") + (F.coalesce(after[c], F.col(f"{c}_pitch")) - F.col(f"{c}_pitch")) * part
     return s, g.select(*SEGMENT, "g", "n_grid", ahead("x").alias("gx"), ahead("y").alias("gy"))
 
 
@@ -132,13 +173,20 @@ def _derivative(c: str, cfg: Motion, reach: int) -> Column:
 
 
 def grid_velocity(grid: DataFrame, cfg: Motion = Motion(), windows: tuple[int, ...] | None = None) -> DataFrame:
-    """Velocity at every grid point, as columns gvx_<window> and gvy_<window>: all windows from the same values around."""
+    """Velocity at every grid point and at the next one of its segment (itself at the end), as columns gvx_<window>,
+    gvy_<window> and next_...: all windows from the same values around."""
     windows = windows or (cfg.window,)
     reach = 2 * (max(windows) // 2)
-    w = Window.partitionBy(*SEGMENT).orderBy("g").rowsBetween(-reach, reach)
-    wide = grid.withColumns({f"around_{c}": F.collect_list(f"g{c}").over(w) for c in "xy"})
+    # A point goes to its own slice and to those within whose points' reach, or next point's reach, it is.
+    slice_of = lambda g: F.floor(g / SLICE_POINTS)
+    g, last = F.col("g"), F.col("n_grid") - 1
+    dealt = grid.withColumn(_SLICE, F.explode(F.sequence(slice_of(F.greatest(g - reach - 1, F.lit(0))), slice_of(F.least(g + reach, last)))))
+    w = Window.partitionBy(*SEGMENT, _SLICE).orderBy("g")
+    wide = dealt.withColumns({f"around_{c}": F.collect_list(f"g{c}").over(w.rowsBetween(-reach, reach)) for c in "xy"})
     columns = {f"gv{c}_{k}": _derivative(c, replace(cfg, window=k), reach) for k in windows for c in "xy"}
-    return wide.select(*SEGMENT, "g", *(v.alias(k) for k, v in columns.items()))
+    v = wide.select(*SEGMENT, _SLICE, "g", *(v.alias(k) for k, v in columns.items()))
+    v = v.withColumns({f"next_{c}": F.coalesce(F.lead(c).over(w), c) for c in columns})
+    return v.filter(slice_of(g) == F.col(_SLICE)).drop(_SLICE)
 
 
 def kinematics(df: DataFrame, cfg: Motion = Motion()) -> DataFrame:
@@ -149,18 +197,17 @@ def kinematics(df: DataFrame, cfg: Motion = Motion()) -> DataFrame:
 def kinematics_by_window(df: DataFrame, cfg: Motion = Motion(), windows: tuple[int, ...] = (21,)) -> DataFrame:
     """As ``kinematics``, for each smoothing window: only the derivative is made more than once."""
     laid = segments(df, cfg)
-    samples, grid = uniform_grid(laid, cfg)
-    w = Window.partitionBy(*SEGMENT).orderBy("g")
-    v = grid_velocity(grid, cfg, windows)
-    v = v.withColumns({f"next_{c}": F.coalesce(F.lead(c).over(w), c) for c in v.columns if c.startswith("gv")})
+    v = grid_velocity(uniform_grid(laid, cfg)[1], cfg, windows)
     place = F.least((F.col("timestamp") - F.col("t0")) / cfg.dt, (F.col("n_grid") - 1).cast("double"))
-    at = samples.withColumn("p", F.when(F.col("regular"), F.col("i").cast("double")).otherwise(place)).withColumn("g", F.floor("p")).select(*SEGMENT, "frame_id", "g", (F.col("p") - F.col("g")).alias("part"))
-    between = lambda c: F.col(c) + (F.col(f"next_{c}") - F.col(c)) * F.col("part")
+    place = F.when(~F.col("glitch"), F.when(F.col("regular"), F.col("i").cast("double")).otherwise(place))
+    between = lambda c: F.col(c) + (F.col(f"next_{c}") - F.col(c)) * F.col("_part_")
     both = F.array(*(F.struct(F.lit(k).alias("window"), between(f"gvx_{k}").alias("vx"), between(f"gvy_{k}").alias("vy")) for k in windows))
-    found = at.join(v, [*SEGMENT, "g"]).select(*SEGMENT, "frame_id", both.alias("v"))
     none = F.lit(None).cast("double")
     blank = F.array(*(F.struct(F.lit(k).alias("window"), none.alias("vx"), none.alias("vy")) for k in windows))
-    out = laid.join(found, [*SEGMENT, "frame_id"], "left").withColumn("v", F.explode(F.coalesce("v", blank))).select("*", "v.*").drop("v")
+    kept = [c for c in laid.columns if c not in ("i", "t0", "n_grid", "regular", "sample_after")]
+    at = laid.withColumn("_part_", place).withColumn("g", F.floor("_part_")).withColumn("_part_", F.col("_part_") - F.col("g"))
+    found = at.join(v, [*SEGMENT, "g"], "left").select(*kept, F.explode(F.when(F.col("gvx_%d" % windows[0]).isNull(), blank).otherwise(both)).alias("v"))
+    out = found.select(*kept, "v.*")
     out = out.withColumn("raw_speed", F.round(F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy")), 9))
     limit = F.when(F.col("raw_speed") > cfg.max_speed, cfg.max_speed / F.col("raw_speed")).otherwise(1.0)
     out = out.withColumns({"speed": F.when(F.col("raw_speed") > cfg.max_speed, cfg.max_speed).otherwise(F.col("raw_speed")), "vx": F.col("vx") * limit, "vy": F.col("vy") * limit})
