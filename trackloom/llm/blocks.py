@@ -128,14 +128,22 @@ def _kind(most: int) -> str:
     return "u1" if most <= 255 else "<u2"
 
 
+def runs(numbers: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, begin, end) of the runs of equal values: as many steps as there are runs, whatever the values."""
+    begins = np.flatnonzero(np.concatenate([[True], numbers[1:] != numbers[:-1]])) if len(numbers) else np.empty(0, np.int64)
+    return zip(numbers[begins].tolist(), begins.tolist(), [*begins[1:].tolist(), len(numbers)])
+
+
+def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """A bucket is a range of hashes; for fewer than 2^32 buckets."""
+    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
 def ask(block: int, hashes: np.ndarray, weights: np.ndarray, buckets: int, most: int) -> Iterator[tuple[int, int, bytes, bytes]]:
-    """Rows (block, bucket, hashes, weights) of a block's sorted distinct hashes; a bucket is a range of hashes."""
-    edges = (np.arange(buckets + 1, dtype=object) << 64) // buckets
-    at = np.searchsorted(hashes, np.array(edges[1:-1], np.uint64))
-    for bucket, (a, b) in enumerate(zip([0, *at], [*at, len(hashes)])):
-        if b > a:
-            part = _cut_hashes(hashes[a:b])
-            yield block, bucket, shrink(np.diff(part, prepend=np.uint64(0))), shrink(np.minimum(weights[a:b], most).astype(_kind(most)))
+    """Rows (block, bucket, hashes, weights) of a block's sorted distinct hashes, for the buckets that it has any of."""
+    for bucket, a, b in runs(bucket_of(hashes, buckets)):
+        part = _cut_hashes(hashes[a:b])
+        yield block, bucket, shrink(np.diff(part, prepend=np.uint64(0))), shrink(np.minimum(weights[a:b], most).astype(_kind(most)))
 
 
 ASKED = "block long, bucket int, hashes binary, weights binary"
