@@ -7,9 +7,8 @@ and contexts, the resulting probabilities go back to the blocks, and a document'
 document is rejected when its perplexity is over its language's threshold.
 
 Every language with good labelled documents has a model and a threshold of its own, however few they are; documents
-without a language count as one more language. Each trains on about ``TRUSTED_DOCS`` documents at most, those with the
-smallest hashes of their ids, on a half to three quarters of them where they are fewer, and never on the one with the
-largest hash. The threshold is the ``QUANTILE`` of the perplexities of all its good documents not trained on, moved half
+without a language count as one more language. Each trains on all of them but those held back for its threshold: a quarter
+(up to a half where they are few), those with the largest hashes of their ids. The threshold is the ``QUANTILE`` of the perplexities of all its good documents not trained on, moved half
 the way (in logarithms) to the ``LOW_QUANTILE`` of its bad ones if that is higher, and raised by ``MARGIN`` spreads (the
 larger of its own standard deviation and that of all languages) over the square root of how many good documents it is taken
 from: so clean documents stay where a quantile says little, and the margin goes as documents come. Documents in a language
@@ -38,9 +37,11 @@ from .blocks import bucket_count, bucket_of, cut_blocks, grow, mix, runs, shrink
 from .common import broadcast_if, discard, drop_shuffles, materialise, materialise_by
 
 ORDER = 5
-TRUSTED_DOCS = 8_000
-#: Good documents that are held back for a threshold, if that leaves half of them to train on.
+#: Good documents that are held back for a threshold at least, if that leaves half of them to train on; and their share.
 HELD_DOCS = 110
+HELD_SHARE = 0.25
+#: Bytes of the training documents' ids that are broadcast; above, the documents are shuffled by id.
+MOST_CHOSEN = 256_000_000
 QUANTILE = 0.99
 LOW_QUANTILE = 0.05
 #: Spreads, over the square root of their number, by which a quantile is raised: what a 95 % tolerance limit adds at twenty.
@@ -203,7 +204,7 @@ def training_cuts(docs: DataFrame, known: DataFrame) -> dict[str, float]:
     """The hash below which each language trains on its good labelled documents; one of them is always left out."""
     n, middle, last = F.count("*").alias("n"), F.percentile_approx("at", 0.5, 10_000).alias("middle"), F.max("at").alias("last")
     found = docs.join(known.filter("good = 1"), "doc_id").groupBy(_key().alias("lang")).agg(n, middle, last).collect()  # a row for each labelled language
-    return {r["lang"]: min(TRUSTED_DOCS / r["n"], max(r["middle"], min(0.75, 1 - HELD_DOCS / r["n"])), r["last"]) for r in found}
+    return {r["lang"]: min(max(r["middle"], min(1 - HELD_SHARE, 1 - HELD_DOCS / r["n"])), r["last"]) for r in found}
 
 
 def _labelled(rows: DataFrame, known: DataFrame, cuts: dict[str, float]) -> DataFrame:
@@ -228,7 +229,7 @@ def thresholds(scored: DataFrame, known: DataFrame, cuts: dict[str, float]) -> D
 
 
 def _train_grams(blocks: DataFrame, languages: frozenset[str]) -> DataFrame:
-    """(lang, hi, lo, n): how often the training documents have each longest n-gram."""
+    """(lang, hi, lo, n): how often the training documents have each longest n-gram, by language and in all."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,8 +239,11 @@ def _train_grams(blocks: DataFrame, languages: frozenset[str]) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(hi), pa.string()), pa.array(hi), pa.array(lo), pa.array(grams.counts())], ["lang", "hi", "lo", "n"])
 
     grams = blocks.select("data").mapInArrow(counted, "lang string, hi long, lo long, n long")
-    both = F.array_distinct(F.array(F.col("lang"), F.lit(POOLED)))
-    return grams.select(F.explode(both).alias("lang"), "hi", "lo", "n").groupBy("lang", "hi", "lo").agg(F.sum("n").alias("n"))
+    own = materialise(grams.groupBy("lang", "hi", "lo").agg(F.sum("n").alias("n")), "own-grams")
+    pooled = own.groupBy("hi", "lo").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("lang"), "hi", "lo", "n")
+    both = materialise(own.filter(F.col("lang") != POOLED).unionByName(pooled), "trusted-grams")
+    discard(own)
+    return both
 
 
 def kneser_ney(top: DataFrame) -> DataFrame:
@@ -259,7 +263,7 @@ def kneser_ney(top: DataFrame) -> DataFrame:
     d = [F.least(F.greatest(F.coalesce(k - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}")), F.lit(k / 2)), F.lit(0.0)), F.lit(float(k))) for k in (1, 2, 3)]
     discounts = seen.select("lang", "level", *(x.alias(f"d{k + 1}") for k, x in enumerate(d)))
     less = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    # Discounts: ORDER rows for each language of the sample.
+    # Discounts: ORDER rows for each language.
     held = counts.join(F.broadcast(discounts), ["lang", "level"]).select("lang", "level", "hi", "lo", "n", less.alias("less"), *_context(("chi", "clo")))
     contexts = held.groupBy("lang", "chi", "clo").agg(F.sum("n").alias("total"), F.sum("less").alias("left"), F.count("*").alias("kinds"))
     weights = contexts.select("lang", "chi", "clo", (F.col("left") / F.col("total")).alias("rest"), "total", (1.0 / (F.col("kinds") + 1)).alias("unseen"))
@@ -375,10 +379,10 @@ def _judged(docs: DataFrame, labels: DataFrame, names: list[str]) -> DataFrame:
     cuts = training_cuts(ids.select("doc_id", "lang"), known)
     chosen = _labelled(ids.select("doc_id", "lang"), known, cuts).filter("trained").select("doc_id", F.col("lang").alias("key")).distinct()
     chosen = materialise(chosen, "chosen")
-    chosen = broadcast_if(chosen, chosen.count(), 40)  # about TRUSTED_DOCS rows for each language
+    chosen = broadcast_if(chosen, chosen.count(), 40, MOST_CHOSEN)
     train = ids.join(chosen, "doc_id").filter(_key() == F.col("key")).select("doc_id", "text", "lang")
     trusted = cut_blocks(train, "trusted")
-    grams = materialise(_train_grams(trusted, frozenset(cuts)), "trusted-grams")
+    grams = _train_grams(trusted, frozenset(cuts))
     languages = frozenset(r[0] for r in grams.select("lang").distinct().collect())  # of those in ``cuts``, and "*"
     model = kneser_ney(grams)
     discard(trusted, grams)
