@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import buckets_for, materialise_by
+from .common import buckets_for, lean, materialise_by
 
 #: A block is closed at so many bytes of all its columns.
 BLOCK_BYTES = 6_000_000
@@ -82,7 +82,7 @@ def cut_blocks(docs: DataFrame, name: str = "blocks", block_bytes: int = BLOCK_B
         if held:
             yield block()
 
-    return materialise_by(docs.mapInArrow(cut, "part long, block long, n_bytes long, data binary"), name, "part")
+    return materialise_by(docs.mapInArrow(lean(cut), "part long, block long, n_bytes long, data binary"), name, "part")
 
 
 def bucket_count(blocks: DataFrame) -> int:
@@ -174,7 +174,7 @@ def corpus_totals(blocks: DataFrame, units: Callable[[pa.Table], tuple[np.ndarra
                 kinds = pa.int64(), pa.int32(), pa.binary(), pa.binary()
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["block", "bucket", "hashes", "weights"])
 
-    return blocks.select("block", "data").mapInArrow(asked, ASKED).groupBy("bucket").applyInPandas(_total(most), "block long, bucket int, totals binary")
+    return blocks.select("block", "data").mapInArrow(lean(asked), ASKED).groupBy("bucket").applyInPandas(lean(_total(most)), "block long, bucket int, totals binary")
 
 
 def answers(totals: pa.Table, most: int = 255) -> np.ndarray:
@@ -198,4 +198,4 @@ def with_answers(blocks: DataFrame, found: DataFrame, make: Callable[[int, pa.Ta
         return pa.concat_tables(made) if made else kinds.empty_table()
 
     answers = found.withColumn("part", F.expr(f"block div {BLOCKS_PER_PART}"))
-    return blocks.select("part", "block", "data").groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(joined, schema)
+    return blocks.select("part", "block", "data").groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(lean(joined), schema)

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What ``spark.sql.sources.bucketing.maxBuckets`` allows by default.
 MOST_BUCKETS = 100_000
+#: What empties the caches that a Python worker keeps from task to task.
+_KEPT: list[Callable[[], None]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +78,54 @@ def drop_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def kept_by_worker(cached):
+    """Mark a function with a cache as one whose results stay while a worker goes on with the same operator."""
+    _KEPT.append(cached.cache_clear)
+    return cached
+
+
+def forget_kept() -> None:
+    for clear in _KEPT:
+        clear()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: the allocators would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
+def lean(work: Callable, keeps: bool = False) -> Callable:
+    """``work``, for a task's batches (a generator) or for one group, after which the Python worker gives free memory
+    back. Workers are used again and again beside the JVM, so what they hold counts in steps without Python as well.
+    Unless it ``keeps`` them, other operators' caches are emptied first."""
+
+    def ready() -> None:
+        if not keeps:
+            forget_kept()
+
+    def task(batches):
+        ready()
+        yield from work(batches)
+        give_back()
+
+    def group(rows):
+        ready()
+        made = work(rows)
+        give_back()
+        return made
+
+    def group_of_two(left, right):  # a key and its rows, or both sides of a cogroup
+        ready()
+        made = work(left, right)
+        give_back()
+        return made
+
+    return task if inspect.isgeneratorfunction(work) else [group, group_of_two][len(inspect.signature(work).parameters) - 1]
+
+
 def fresh_name(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have."""
     taken = {c.lower() for c in df.columns}

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, materialise, one_row_each, text_or_empty
+from .common import buckets_for, lean, materialise, one_row_each, text_or_empty
 
 #: Distinct digests a shard's hash holds, about.
 DIGESTS_PER_SHARD = 50_000
@@ -130,7 +130,7 @@ def merge_groups(history: DataFrame, batch: DataFrame, shards: int) -> DataFrame
     batch = batch.withColumn("digest", F.concat("digest", F.lit(b"")))
     keyed = [g.withColumn("shard", F.pmod(F.xxhash64("digest"), F.lit(shards))) for g in (history, batch)]
     grouped = [k.groupBy("shard") for k in keyed]
-    return grouped[0].cogroup(grouped[1]).applyInArrow(_merge, _GROUP)
+    return grouped[0].cogroup(grouped[1]).applyInArrow(lean(_merge), _GROUP)
 
 
 def _groups(docs: DataFrame, history_to: int | None) -> tuple[DataFrame, DataFrame]:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import answers, bucket_count, corpus_totals, cut_blocks, grow, mix, shrink, text_bytes, with_answers
-from .common import discard, materialise, one_row_each, text_or_empty
+from .common import discard, lean, materialise, one_row_each, text_or_empty
 from .components import components
 
 SHINGLE = 5
@@ -157,7 +157,7 @@ def _tokens(classes: DataFrame, percent: int) -> DataFrame:
                 k = len(tokens)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(k, cls, np.int64)), pa.array(np.full(k, n, np.int64)), pa.array(np.full(k, len(hashes), np.int64)), pa.array(np.full(k, _band(n, percent), np.int32)), pa.array(tokens.view(np.int64)), pa.array(np.arange(k) + (n - len(hashes)))], ["cls", "n", "shared", "band", "token", "place"])
 
-    found = classes.filter("shingles IS NOT NULL").select("cls", "n", "shingles", "sets").mapInArrow(prefixes, "cls long, n long, shared long, band int, token long, place long")
+    found = classes.filter("shingles IS NOT NULL").select("cls", "n", "shingles", "sets").mapInArrow(lean(prefixes), "cls long, n long, shared long, band int, token long, place long")
     return found
 
 
@@ -213,7 +213,7 @@ def fragment_edges(classes: DataFrame) -> list[int]:
         steps = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(steps), pa.array(total[steps])], ["step", "n"])
 
-    found = classes.select("shingles", "sets").mapInArrow(counted, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).orderBy("step").collect()  # 65,536 rows at most
+    found = classes.select("shingles", "sets").mapInArrow(lean(counted), "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).orderBy("step").collect()  # 65,536 rows at most
     weight = np.cumsum([r["n"] for r in found])
     at = np.searchsorted(weight, np.arange(1, FRAGMENTS) * (weight[-1] if len(weight) else 0) / FRAGMENTS)
     return sorted({found[i]["step"] for i in at if i < len(found)})
@@ -235,7 +235,7 @@ def _linked(pairs: DataFrame, classes: DataFrame, edges: list[int], groups: int,
             columns = list(zip(*rows)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["share", "fragment", "cls", "data"])
 
-    cut = asked.join(classes.select("cls", "shingles", "sets"), "cls").select("share", "cls", "shingles", "sets").mapInArrow(fragments, "share int, fragment int, cls long, data binary")
+    cut = asked.join(classes.select("cls", "shingles", "sets"), "cls").select("share", "cls", "shingles", "sets").mapInArrow(lean(fragments), "share int, fragment int, cls long, data binary")
 
     def overlaps(sets: pa.Table, wanted: pa.Table) -> pa.Table:
         held = {c: np.frombuffer(d, "<u8") for c, d in zip(sets.column("cls").to_pylist(), sets.column("data").to_pylist())}
@@ -249,7 +249,7 @@ def _linked(pairs: DataFrame, classes: DataFrame, edges: list[int], groups: int,
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "common": common}).filter(pa.array(common > 0))
 
     wanted = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(len(edges)))))
-    partial = cut.groupBy("share", "fragment").cogroup(wanted.groupBy("share", "fragment")).applyInArrow(overlaps, "a long, b long, common long")
+    partial = cut.groupBy("share", "fragment").cogroup(wanted.groupBy("share", "fragment")).applyInArrow(lean(overlaps), "a long, b long, common long")
     sums = partial.groupBy("a", "b").agg(F.sum("common").alias("common"))
     sizes = classes.select("cls", "n")
     held = sums.join(sizes.select(F.col("cls").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("cls").alias("b"), F.col("n").alias("nb")), "b")

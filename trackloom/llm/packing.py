@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_or_empty
+from .common import kept_by_worker, lean, materialise, text_or_empty
 from .pretokens import Cache, is_plain, json_tokenizer
 
 SEQUENCE_TOKENS = 2048
@@ -115,6 +115,7 @@ class Packer:
         return self.rows()
 
 
+@kept_by_worker
 @lru_cache(maxsize=1)
 def encoder(name: str):
     """text -> its ids as little-endian unsigned 32-bit integers. White space only separates words for this kind of
@@ -166,8 +167,8 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = SEQUENCE_T
         yield packer.rest(again=False)
 
     # Written once: a task that runs again could place its pieces in another order.
-    rows = materialise(docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(packed, _SCHEMA), "packed")
+    rows = materialise(docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(lean(packed, keeps=True), _SCHEMA), "packed")
     open_ = rows.filter("sequence_id IS NULL")
     parts = max(1, -(-open_.count() // LEFT_OPEN))
-    again = materialise(open_.repartition(parts, "doc_id", "piece").mapInArrow(packed_again, _SCHEMA), "packed-again")
+    again = materialise(open_.repartition(parts, "doc_id", "piece").mapInArrow(lean(packed_again, keeps=True), _SCHEMA), "packed-again")
     return rows.filter("sequence_id IS NOT NULL").unionByName(again)

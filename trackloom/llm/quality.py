@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from .blocks import bucket_count, bucket_of, cut_blocks, grow, mix, runs, shrink, unpack_rows, with_answers
-from .common import broadcast_if, discard, drop_shuffles, materialise, materialise_by
+from .common import broadcast_if, discard, drop_shuffles, lean, materialise, materialise_by
 
 ORDER = 5
 #: Good documents that are held back for a threshold at least, if that leaves half of them to train on; and their share.
@@ -238,7 +238,7 @@ def _train_grams(blocks: DataFrame, languages: frozenset[str]) -> DataFrame:
                     hi, lo = grams.pairs()
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(hi), pa.string()), pa.array(hi), pa.array(lo), pa.array(grams.counts())], ["lang", "hi", "lo", "n"])
 
-    grams = blocks.select("data").mapInArrow(counted, "lang string, hi long, lo long, n long")
+    grams = blocks.select("data").mapInArrow(lean(counted), "lang string, hi long, lo long, n long")
     own = materialise(grams.groupBy("lang", "hi", "lo").agg(F.sum("n").alias("n")), "own-grams")
     pooled = own.groupBy("hi", "lo").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("lang"), "hi", "lo", "n")
     both = materialise(own.filter(F.col("lang") != POOLED).unionByName(pooled), "trusted-grams")
@@ -360,10 +360,10 @@ def score_blocks(blocks: DataFrame, model: DataFrame, languages: frozenset[str],
                 scores[i] = score
         return make(rows, scores, language)
 
-    asked = materialise_by(blocks.select("block", "data").mapInArrow(ask, _ASKED), "asked-grams", "bucket", deal=True)
-    grams = asked.groupBy("bucket").applyInPandas(distinct, "bucket int, lang string, hi long, lo long")
+    asked = materialise_by(blocks.select("block", "data").mapInArrow(lean(ask), _ASKED), "asked-grams", "bucket", deal=True)
+    grams = asked.groupBy("bucket").applyInPandas(lean(distinct), "bucket int, lang string, hi long, lo long")
     chances = gram_chances(grams, model)
-    replies = asked.groupBy("bucket").cogroup(chances.groupBy("bucket")).applyInPandas(reply, "block long, bucket int, lang string, logs binary")
+    replies = asked.groupBy("bucket").cogroup(chances.groupBy("bucket")).applyInPandas(lean(reply), "block long, bucket int, lang string, logs binary")
     return with_answers(blocks, replies, scored, schema)
 
 
