@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import buckets_for, lean, materialise_by
+from .common import batches_of, buckets_for, lean, materialise_by
 
 #: A block is closed at so many bytes of all its columns.
 BLOCK_BYTES = 6_000_000
 #: Blocks that a task holds at once, compressed, when answers come back.
 BLOCKS_PER_PART = 8
+#: Rows that come to ``cut`` in one Arrow batch: ten thousand texts, Spark's number, are held twice by the JVM while it grows the batch.
+ROWS_PER_BATCH = 2_000
 #: Bytes of text that one bucket of distinct units stands for.
 BYTES_PER_BUCKET = 12_000_000
 #: Bits of a 64-bit hash that are compared; more only cost space.
@@ -82,7 +84,8 @@ def cut_blocks(docs: DataFrame, name: str = "blocks", block_bytes: int = BLOCK_B
         if held:
             yield block()
 
-    return materialise_by(docs.mapInArrow(lean(cut), "part long, block long, n_bytes long, data binary"), name, "part")
+    with batches_of(docs.sparkSession, ROWS_PER_BATCH):
+        return materialise_by(docs.mapInArrow(lean(cut), "part long, block long, n_bytes long, data binary"), name, "part")
 
 
 def bucket_count(blocks: DataFrame) -> int:
@@ -153,10 +156,13 @@ def _total(most: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def total(rows: pd.DataFrame) -> pd.DataFrame:
         """A bucket's hashes over all blocks: each gets the sum of its weights (``most``: that or more)."""
         parts = [np.cumsum(grow(h, "<u8"), dtype=np.uint64) for h in rows["hashes"]]
-        known, inverse = np.unique(np.concatenate(parts), return_inverse=True)
+        sizes, hashes = [len(p) for p in parts], np.concatenate(parts)
+        del parts
+        known, inverse = np.unique(hashes, return_inverse=True)
+        del hashes
         sums = np.bincount(inverse, np.concatenate([grow(w, _kind(most)) for w in rows["weights"]]), len(known))
-        sums, ends = np.minimum(sums, most).astype(_kind(most))[inverse], np.cumsum([len(p) for p in parts])
-        totals = [shrink(sums[e - len(p) : e]) for p, e in zip(parts, ends)]
+        sums, ends = np.minimum(sums, most).astype(_kind(most))[inverse], np.cumsum(sizes)
+        totals = [shrink(sums[e - n : e]) for n, e in zip(sizes, ends)]
         return pd.DataFrame({"block": rows["block"], "bucket": rows["bucket"], "totals": totals})
 
     return total

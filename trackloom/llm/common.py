@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import inspect
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,6 +80,18 @@ def drop_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What is written inside comes to Python by Arrow batches of ``rows`` at most; afterwards the session's own size holds."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows if int(before) <= 0 else min(rows, int(before)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def kept_by_worker(cached):
     """Mark a function with a cache as one whose results stay while a worker goes on with the same operator."""
     _KEPT.append(cached.cache_clear)
@@ -97,12 +111,25 @@ def give_back() -> None:
         trim(0)
 
 
+def _collected(phase: str, info: dict) -> None:
+    """After a whole collection of garbage, what was freed goes back."""
+    if phase == "stop" and info["generation"] == 2:
+        give_back()
+
+
+def give_back_when_collected() -> None:
+    """A worker collects its garbage between tasks: only then are the last group and its result free."""
+    if _collected not in gc.callbacks:
+        gc.callbacks.append(_collected)
+
+
 def lean(work: Callable, keeps: bool = False) -> Callable:
     """``work``, for a task's batches (a generator) or for one group, after which the Python worker gives free memory
-    back. Workers are used again and again beside the JVM, so what they hold counts in steps without Python as well.
-    Unless it ``keeps`` them, other operators' caches are emptied first."""
+    back, and again when the task has ended. Workers are used again and again beside the JVM, so what they hold counts
+    in steps without Python as well. Unless it ``keeps`` them, other operators' caches are emptied first."""
 
     def ready() -> None:
+        give_back_when_collected()
         if not keeps:
             forget_kept()
 

@@ -67,7 +67,7 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return starts, mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
 
 
-def shingle_sets(rows: pa.Table, shingle: int = SHINGLE, chunk: int = 1_000_000) -> Iterator[np.ndarray]:
+def shingle_sets(rows: pa.Table, shingle: int = SHINGLE, chunk: int = 250_000) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text of a block."""
     data, ends = text_bytes(rows)
     steps = _powers(_STEP, max(shingle, 1))

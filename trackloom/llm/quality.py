@@ -54,7 +54,9 @@ _START = 0x110001
 _MASK = (1 << _BITS) - 1
 _ASKED = "block long, bucket int, lang string, hi binary, lo binary"
 _SPACES = np.array([9, 10, 11, 12, 13, 32], np.uint32)
-_CHUNK = 1_000_000
+#: Symbols whose n-grams are made at once, and chances that are summed in one go.
+_CHUNK = 250_000
+_SUMMED = 1_000_000
 
 
 class _Grams:
@@ -64,21 +66,32 @@ class _Grams:
     predicted from up to ``ORDER - 1`` before it, over the ends of words, back to the document's start."""
 
     def __init__(self, texts: list[str]):
-        chars = np.frombuffer(("\n" + "\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
-        space = np.isin(chars, _SPACES)
-        places = np.flatnonzero(~space[1:] | ~space[:-1]) + 1  # of several spaces the first stays
-        self.ends = np.searchsorted(places, np.cumsum([len(t) + 1 for t in texts]), "right")
-        symbols = chars[places] + np.uint32(1)
-        symbols[space[places]] = 33
-        del chars, space, places
+        parts, ends, done = [np.empty(0, np.uint32)], [np.empty(0, np.int64)], 0
+        size = np.cumsum([len(t) + 1 for t in texts])
+        bounds = np.searchsorted(size, np.arange(0, size[-1] if len(size) else 0, _CHUNK)).tolist()
+        for first, stop in zip(bounds, [*bounds[1:], len(texts)]):  # by chunks of whole documents
+            own = texts[first:stop]
+            chars = np.frombuffer(("\n" + "\n".join(own) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+            space = np.isin(chars, _SPACES)
+            places = np.flatnonzero(~space[1:] | ~space[:-1]) + 1  # of several spaces the first stays
+            ends.append(done + np.searchsorted(places, np.cumsum([len(t) + 1 for t in own]), "right"))
+            parts.append(chars[places] + np.uint32(1))
+            parts[-1][space[places]] = 33
+            done += len(places)
+        symbols, self.ends = np.concatenate(parts), np.concatenate(ends)
+        parts = chars = space = places = None
         starts, self.before = np.concatenate([[0], self.ends[:-1]]), np.full(len(symbols), ORDER, np.uint8)
         for k in reversed(range(ORDER)):  # how many places stand before it in its document, ORDER or more as ORDER
             self.before[starts[starts + k < self.ends] + k] = k
         # Symbols are numbered in their order, so that most alphabets' n-grams fit into one word.
-        self.alphabet = np.concatenate([[0], np.flatnonzero(np.bincount(symbols, minlength=_START)), [_START]])
+        self.symbols, seen = symbols, np.zeros(_START, bool)
+        for a, b in self._chunks():  # an index is widened to 64 bits: by chunks
+            seen[symbols[a:b]] = True
+        self.alphabet = np.concatenate([[0], np.flatnonzero(seen), [_START]])
         number = np.zeros(int(self.alphabet[-2]) + 1, np.uint32)
         number[self.alphabet[:-1]] = np.arange(len(self.alphabet) - 1)
-        self.symbols = number[symbols]
+        for a, b in self._chunks():
+            symbols[a:b] = number[symbols[a:b]]
         self.base = np.uint64(len(self.alphabet))
         self.wide = None
         if len(self.alphabet) ** ORDER >= 1 << 64:
@@ -134,18 +147,21 @@ class _Grams:
         """``logs``: of the chances of the distinct n-grams."""
         running, done = np.zeros(len(self.symbols) + 1), 0.0
         for a, b in self._chunks():
-            running[a + 1 : b + 1] = done + np.cumsum(logs[np.searchsorted(self.known, self._codes(a, b))])
-            done = running[b]
+            running[a + 1 : b + 1] = logs[np.searchsorted(self.known, self._codes(a, b))]
+        for a in range(1, len(running), _SUMMED):
+            part = running[a : a + _SUMMED]
+            part[:] = done + np.cumsum(part)
+            done = part[-1]
         sums, sizes = np.diff(running[self.ends], prepend=0.0), np.diff(self.ends, prepend=0)
         return [float(np.exp(-total / n)) if n else None for total, n in zip(sums.tolist(), sizes.tolist())]
 
 
-def _by_language(rows: pa.Table, languages: frozenset[str]) -> tuple[list[str], list[tuple[str, list[int], _Grams]]]:
-    """(the model of each row, (model, its rows, their n-grams))."""
+def _by_language(rows: pa.Table, languages: frozenset[str]) -> tuple[list[str], Iterator[tuple[str, list[int], _Grams]]]:
+    """(the model of each row, (model, its rows, their n-grams) one after another)."""
     language = [x if x in languages else POOLED for x in rows.column("lang").to_pylist()]
     texts = [x.as_py() or "" for x in rows.column("text")]
     at = {x: [i for i, y in enumerate(language) if y == x] for x in sorted(set(language))}
-    return language, [(x, own, _Grams([texts[i] for i in own])) for x, own in at.items()]
+    return language, ((x, own, _Grams([texts[i] for i in own])) for x, own in at.items())
 
 
 def _dealt(lang: str, hi: np.ndarray, lo: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -158,11 +174,12 @@ def _dealt(lang: str, hi: np.ndarray, lo: np.ndarray, buckets: int) -> tuple[np.
 def _distinct_pairs(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct hi, lo, ascending; which of them each pair is)."""
     order = np.lexsort((lo, hi))
+    hi, lo = hi[order], lo[order]
     first = np.ones(len(hi), bool)
-    first[1:] = (np.diff(hi[order]) != 0) | (np.diff(lo[order]) != 0)
+    first[1:] = (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])
     inverse = np.empty(len(hi), np.int64)
     inverse[order] = np.cumsum(first) - 1
-    return hi[order][first], lo[order][first], inverse
+    return hi[first], lo[first], inverse
 
 
 def _size() -> Column:
@@ -209,8 +226,8 @@ def training_cuts(docs: DataFrame, known: DataFrame) -> dict[str, float]:
 
 def _labelled(rows: DataFrame, known: DataFrame, cuts: dict[str, float]) -> DataFrame:
     """``rows`` with labels, and ``trained``: whether the model has seen the row's document. ``lang`` null is "*"."""
-    own = rows.sparkSession.createDataFrame(list(cuts.items()), "lang string, cut double")
-    joined = rows.withColumn("lang", _key()).join(known, "doc_id").join(F.broadcast(own), "lang", "left")  # a row for each labelled language
+    own = [F.when(F.col("lang") == lang, F.lit(cut)) for lang, cut in cuts.items()]  # a literal for each labelled language; rows made in Python would start workers
+    joined = rows.withColumn("lang", _key()).join(known, "doc_id").withColumn("cut", F.coalesce(*own, F.lit(None).cast("double")))
     return joined.withColumn("trained", F.coalesce((F.col("good") == 1) & (F.col("at") < F.col("cut")), F.lit(False)))
 
 
@@ -331,7 +348,9 @@ def score_blocks(blocks: DataFrame, model: DataFrame, languages: frozenset[str],
         """By language: the bucket's rows, how many n-grams each has, the distinct ones and which each is."""
         for lang, own in rows.groupby("lang"):
             his, los = [grow(x, "<i8") for x in own["hi"]], [grow(x, "<i8") for x in own["lo"]]
-            yield lang, own, np.array([len(x) for x in his]), _distinct_pairs(np.concatenate(his), np.concatenate(los))
+            sizes, pairs = np.array([len(x) for x in his]), _distinct_pairs(np.concatenate(his), np.concatenate(los))
+            del his, los  # not held while the group goes on
+            yield lang, own, sizes, pairs
 
     def distinct(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         found = [pd.DataFrame({"bucket": key[0], "lang": lang, "hi": hi, "lo": lo}) for lang, _, _, (hi, lo, _) in whole(rows)]

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .blocks import answers, bucket_count, corpus_totals, cut_blocks, grow, mix, shrink, text_bytes, with_answers
-from .common import discard, materialise
+from .common import discard, lean, materialise
 
 LENGTH = 50
 KMER = 16
@@ -64,6 +64,7 @@ def _minimizers(data: np.ndarray, ends: np.ndarray, length: int) -> Iterator[tup
                 whole = (len(part) - k) // 8
                 words[k::8] = np.frombuffer(part[k : k + 8 * whole].tobytes(), "<u8")
             pieces = mix(mix(words[: len(words) - KMER + 8]) + words[KMER - 8 :])
+            del words
             least, span = pieces, 1
             while span * 2 <= inner:
                 least, span = np.minimum(least[:-span], least[span:]), span * 2
@@ -322,7 +323,7 @@ def _covered(rows: pa.Table, items: np.ndarray, found: list[tuple[np.ndarray, np
         gone = place[minima[np.repeat(offset[at], n) + turn] < np.repeat(ids[doc], n)]
         np.add.at(edges, gone, 1)
         np.add.at(edges, gone + length, -1)
-    return np.cumsum(edges[:-1]) > 0
+    return np.cumsum(edges[:-1], dtype=np.int32) > 0
 
 
 def _cut(docs: DataFrame, make, schema: str | StructType, length: int) -> DataFrame:
@@ -331,7 +332,7 @@ def _cut(docs: DataFrame, make, schema: str | StructType, length: int) -> DataFr
     buckets = bucket_count(blocks)
     totals = materialise(corpus_totals(blocks, block_units(length), buckets, HOT), "totals")
     sent = _segments(blocks, totals, buckets * SHARDS_PER_BUCKET, length)
-    solved = materialise(sent.groupBy("shard").applyInPandas(_shard(length), _FOUND), "solved")
+    solved = materialise(sent.groupBy("shard").applyInPandas(lean(_shard(length)), _FOUND), "solved")
     discard(totals)
 
     def joined(_block: int, rows: pa.Table, right: pa.Table) -> pa.Table:
@@ -364,14 +365,22 @@ def _whole_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
     return np.logical_or.reduceat(gone, np.flatnonzero(first))[np.cumsum(first) - 1] if len(data) else gone
 
 
+def _texts_left(texts: list[str | None], data: np.ndarray, ends: np.ndarray, gone: np.ndarray) -> list[str | None]:
+    """What is left of each text, one after another: places of a whole block's characters would be large."""
+    left = []
+    for text, a, b in zip(texts, ends[:-1], ends[1:]):
+        part = gone[a:b]
+        left.append(data[a:b][~_whole_characters(data[a:b], part)].tobytes().decode() if part.any() else text)
+    return left
+
+
 def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The rows of ``docs``, all columns, with what is left of each text. A character of which only some bytes go is
     left out whole; documents of which nothing is left go, and a null or empty text stays as it is."""
     names, schema = docs.columns, docs.schema
 
     def make(rows: pa.Table, data: np.ndarray, ends: np.ndarray, gone: np.ndarray) -> pa.Table:
-        kept = ~_whole_characters(data, gone)
-        texts = [x if a == b else data[a:b][kept[a:b]].tobytes().decode() for x, a, b in zip(rows.column("text").to_pylist(), ends[:-1], ends[1:])]
+        texts = _texts_left(rows.column("text").to_pylist(), data, ends, gone)
         left = [bool(t) or a == b for t, a, b in zip(texts, ends[:-1], ends[1:])]
         at = rows.schema.get_field_index("text")
         return rows.set_column(at, "text", pa.array(texts, pa.string())).select(names).filter(pa.array(left, pa.bool_()))
